@@ -87,3 +87,24 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def clean_id(column: Column | str) -> Column:
     """An id without the blanks and tabs around it."""
     return F.btrim(F.col(column) if isinstance(column, str) else column, F.lit(" \t"))
+
+
+def dense_codes(df: DataFrame, *order: Column | str, name: str = "code") -> DataFrame:
+    """``df`` materialised with a dense bigint code from 0 in the given order.
+
+    A range-partitioned sort numbers the rows within partitions; the partitions' sizes, one number each, give the
+    offsets. No task sees all rows.
+    """
+    numbered = materialise(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    offsets, at = [], 0
+    for r in sizes:
+        offsets.append((r.p, at))
+        at += r.n
+    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p bigint, _o bigint")
+    return (
+        numbered.join(F.broadcast(table), part == F.col("_p"), "left")
+        .withColumn(name, F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("_m", "_p", "_o")
+    )
