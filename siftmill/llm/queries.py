@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm.cooccur import item_pairs
+from siftmill.llm.mixing import Target, mix, share_report
+from siftmill.llm.packing import fill_report, pack
 from siftmill.llm.setjoin import similar_sets
 from siftmill.llm.terms import term_statistics
+from siftmill.llm.tokens import token_count
 from siftmill.llm.topn import top_per_group
 from siftmill.session import load
 
@@ -49,6 +52,34 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_top3(spark, d).select("b1", "b2")
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", "text", "source", token_count("text").alias("size"))
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    tiers = [(r.container, r.capacity_tokens) for r in load(spark, d, "container_size").collect()]
+    return pack(_sized(spark, d), "doc_id", "size", tiers)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_pack(spark, d), load(spark, d, "container_size"))
+
+
+def p8_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and cost of every step group."""
+    packed = p8_pack(spark, d).where("container is not null")
+    return packed.groupBy("container", "step").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("cost"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    targets = [Target(r.source, r.target_share, r.max_repeat) for r in load(spark, d, "mix_target").collect()]
+    return mix(_sized(spark, d), "doc_id", "text", "source", "size", targets)
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(p9_mix(spark, d), load(spark, d, "mix_target"))
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found,
@@ -59,6 +90,11 @@ def queries() -> dict:
         "p4_links": p4_links,
         "p5_found": p5_found,
         "p5_top3": p5_top3,
+        "p8_pack": p8_pack,
+        "p8_fill": p8_fill,
+        "p8_steps": p8_steps,
+        "p9_mix": p9_mix,
+        "p9_report": p9_report,
     }
 
 
