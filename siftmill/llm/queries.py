@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm.cooccur import item_pairs
+from siftmill.llm.langid import identify
 from siftmill.llm.mixing import Target, mix, share_report
 from siftmill.llm.packing import fill_report, pack
 from siftmill.llm.setjoin import similar_sets
@@ -80,6 +81,25 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return share_report(p9_mix(spark, d), load(spark, d, "mix_target"))
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    return identify(load(spark, d, "documents"), "doc_id", "text", "lang", "source", "business_id", load(spark, d, "lang_sample"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of several languages, or with a label that doesn't name theirs: one row for each of their languages."""
+    case = (F.size("langs") > 1) | F.col("label_lang").isNull() | (F.col("label_lang") != F.col("langs")[0]["lang"])
+    return _languages(spark, d).where((F.size("langs") > 0) & case).select("doc_id", F.explode("langs.lang").alias("lang"))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("doc_id", "label_lang", "lang", F.round("confidence", 6).alias("confidence"), F.size("langs").alias("n_langs"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = _languages(spark, d).select("doc_id", F.posexplode("segments").alias("segment", "s"))
+    return rows.select("doc_id", "segment", F.col("s.begin").alias("char_from"), F.col("s.end").alias("char_to"), F.col("s.lang").alias("lang"), F.col("s.sentences").alias("sentences"), F.round("s.confidence", 6).alias("confidence"))
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found,
@@ -95,6 +115,9 @@ def queries() -> dict:
         "p8_steps": p8_steps,
         "p9_mix": p9_mix,
         "p9_report": p9_report,
+        "p10_found": p10_found,
+        "p10_documents": p10_documents,
+        "p10_segments": p10_segments,
     }
 
 
