@@ -61,11 +61,10 @@ def farthest_first(points: DataFrame, k: int) -> list[list[float]]:
     first = points.agg(F.min_by("features", "id")).first()[0]
     centres = [list(first)] if first is not None else []
     while centres and len(centres) < k:
-        far = assign(points, centres).agg(F.max("distance")).first()[0]
-        if not far:
+        far = assign(points, centres).agg(F.min(F.struct((-F.col("distance")).alias("d"), "id", "features")).alias("m")).first().m
+        if not far.d:
             break
-        row = assign(points, centres).where(F.col("distance") >= far).agg(F.min_by("features", "id")).first()[0]
-        centres.append(list(row))
+        centres.append(list(far.features))
     return centres
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,28 +106,63 @@ def frequent_itemsets(rows: DataFrame, support: int, *, max_size: int | None = N
     return mine(whole, limit, max_size=max_size).select("itemset", "support")
 
 
+def _chunk_miner(support: int, total: int, max_size: int | None):
+    """Mines one chunk in memory: items as bit sets of baskets, extended depth first by intersection."""
+
+    def run(chunk: pd.DataFrame) -> pd.DataFrame:
+        codes, names = pd.factorize(chunk["basket"])
+        need = -(-support * len(names) // total)
+        bits = []
+        for item, rows in sorted(chunk.assign(code=codes).groupby("item")["code"]):
+            if len(rows) >= need:
+                flags = np.zeros(len(names), np.uint8)
+                flags[rows.to_numpy()] = 1
+                bits.append((item, int.from_bytes(np.packbits(flags).tobytes(), "big")))
+        found, open_sets = [], [((), bits)]
+        while open_sets:
+            head, tails = open_sets.pop()
+            for at, (item, mask) in enumerate(tails):
+                itemset = (*head, item)
+                found.append(itemset)
+                if max_size is None or len(itemset) < max_size:
+                    further = [(x, mask & m) for x, m in tails[at + 1 :]]
+                    further = [(x, m) for x, m in further if m.bit_count() >= need]
+                    if further:
+                        open_sets.append((itemset, further))
+        return pd.DataFrame({"itemset": [list(x) for x in found]})
+
+    return run
+
+
 def local_candidates(rows: DataFrame, support: int, chunk: Column, *, max_size: int | None = None) -> DataFrame:
-    """Phase one over chunks: itemsets frequent in some chunk at its local support."""
-    rows = materialise(rows.withColumn("chunk", chunk))
-    supports = materialise(chunk_supports(rows, support, F.col("chunk")))
-    return mine(rows, supports, max_size=max_size).select("itemset").distinct()
+    """Phase one over chunks: itemsets frequent in some chunk at its local support.
+
+    Each chunk is mined in the memory of one task, so the number of chunks has to grow with the baskets.
+    """
+    rows = rows.withColumn("chunk", chunk)
+    total = rows.select("basket").distinct().count()
+    return rows.groupBy("chunk").applyInPandas(_chunk_miner(support, max(1, total), max_size), "itemset array<string>").distinct()
 
 
 def count_itemsets(candidates: DataFrame, rows: DataFrame, support: int) -> DataFrame:
     """Phase two: the candidates' supports over all baskets, kept at ``support``.
 
-    A basket holds a candidate if as many of its items meet the candidate's items as the candidate has; baskets
-    meet candidates by item, starting from items that occur in candidates at all.
+    A candidate meets only the baskets that hold its rarest item, and is looked for in those baskets' items.
     """
-    by_item = candidates.select("itemset", F.size("itemset").alias("k"), F.explode("itemset").alias("item"))
-    met = rows.join(by_item, "item").groupBy("basket", "itemset", "k").agg(F.count(F.lit(1)).alias("c")).where("c = k")
+    frequency = rows.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
+    rarest = (
+        candidates.select("itemset", F.explode("itemset").alias("item")).join(frequency, "item")
+        .groupBy("itemset").agg(F.min(F.struct("f", "item")).getField("item").alias("item"))
+    )
+    held = rows.groupBy("basket").agg(F.collect_list("item").alias("items"))
+    met = rarest.join(rows.join(held, "basket"), "item").where(F.size(F.array_intersect("itemset", "items")) == F.size("itemset"))
     return met.groupBy("itemset").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)
 
 
 def two_phase_itemsets(rows: DataFrame, support: int, chunk: Column, *, max_size: int | None = None) -> DataFrame:
     """Frequent itemsets by local candidates and one global count; the result doesn't depend on the chunks."""
     rows = materialise(rows)
-    return count_itemsets(local_candidates(rows, support, chunk, max_size=max_size), rows, support)
+    return count_itemsets(materialise(local_candidates(rows, support, chunk, max_size=max_size)), rows, support)
 
 
 def by_length(itemsets: DataFrame) -> DataFrame:
