@@ -15,6 +15,8 @@ from siftmill.session import clean_id, dense_codes, materialise, small
 WIDTH = 1024
 #: Basket-item entries per record block, and products formed at a time within one.
 BLOCK_ENTRIES, STEP = 200_000, 2_000_000
+#: A task hands on its partial Gram matrix whenever it holds this many cells.
+HELD_CELLS = 3_000_000
 
 CELLS = "bi bigint, bj bigint, cells array<int>, counts array<bigint>"
 _CELLS = pa.schema([("bi", pa.int64()), ("bj", pa.int64()), ("cells", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
@@ -25,36 +27,42 @@ def _fold(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return unique, np.bincount(at, counts, len(unique)).astype(np.int64)
 
 
-def _gram(sparse_rows: np.ndarray, columns: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper part of X'X of a binary record block, given by (row, column) sorted: keys (i * top + j), i < j, and counts."""
+def _gram(sparse_rows: np.ndarray, columns: np.ndarray, top: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Upper part of X'X of a binary record block, given by (row, column) sorted: keys (i * top + j), i < j, and counts.
+
+    The product is formed ``step`` terms at a time and comes in parts of bounded size, to be summed.
+    """
     starts = np.flatnonzero(np.r_[True, sparse_rows[1:] != sparse_rows[:-1]])
     ends = np.repeat(np.r_[starts[1:], len(columns)], np.diff(np.r_[starts, len(columns)]))
     follow = ends - np.arange(len(columns)) - 1  # entries after each one in its row
     cuts, reach = [0], np.cumsum(follow)
     while cuts[-1] < len(columns):
         done = reach[cuts[-1] - 1] if cuts[-1] else 0
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(reach, done + STEP, "right"))))
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(reach, done + step, "right"))))
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for a, b in zip(cuts, cuts[1:]):
         n = follow[a:b]
         left = np.repeat(np.arange(a, b), n)
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
         keys, counts = _fold(np.r_[keys, columns[left] * top + columns[right]], np.r_[counts, np.ones(len(left), np.int64)])
-    return keys, counts
+        if len(keys) > HELD_CELLS:
+            yield keys, counts
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    yield keys, counts
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+def _blocks(keys: np.ndarray, counts: np.ndarray, top: int, width: int) -> Iterator[pa.RecordBatch]:
     """Cuts a partial Gram matrix into item-block pairs."""
     i, j = keys // top, keys % top
-    pair = (i // WIDTH) * (top // WIDTH + 1) + j // WIDTH
+    pair = (i // width) * (top // width + 1) + j // width
     order = np.argsort(pair, kind="stable")
-    pair, cell, counts = pair[order], ((i % WIDTH) * WIDTH + j % WIDTH)[order].astype(np.int32), counts[order]
+    pair, cell, counts = pair[order], ((i % width) * width + j % width)[order].astype(np.int32), counts[order]
     cuts = np.r_[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), len(pair)]
     for a, b in zip(cuts[:-1], cuts[1:]) if len(pair) else ():
-        yield pa.record_batch([pa.array([x], t) for x, t in zip((pair[a] // (top // WIDTH + 1), pair[a] % (top // WIDTH + 1), cell[a:b], counts[a:b]), _CELLS.types)], schema=_CELLS)
+        yield pa.record_batch([pa.array([x], t) for x, t in zip((pair[a] // (top // width + 1), pair[a] % (top // width + 1), cell[a:b], counts[a:b]), _CELLS.types)], schema=_CELLS)
 
 
-def _products(top: int):
+def _products(top: int, width: int, step: int):
     """A partition of (basket, code) rows holds whole baskets and is one record block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,50 +72,61 @@ def _products(top: int):
         row = table.column(0).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
         column = table.column(1).to_numpy()
         order = np.lexsort((column, row))
-        yield from _blocks(*_gram(row[order], column[order], top), top)
+        for keys, counts in _gram(row[order], column[order], top, step):
+            yield from _blocks(keys, counts, top, width)
 
     return run
 
 
-def _outer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _outer(width: int):
     """The product of two item blocks of one large basket."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            a, b = np.array(r["li"], np.int64), np.array(r["lj"], np.int64)
-            cell = (a[:, None] * WIDTH + b[None, :]).ravel()
-            if r["bi"] == r["bj"]:
-                cell = cell[(a[:, None] < b[None, :]).ravel()]
-            if len(cell):
-                yield pa.record_batch([pa.array([x], t) for x, t in zip((r["bi"], r["bj"], cell.astype(np.int32), np.ones(len(cell), np.int64)), _CELLS.types)], schema=_CELLS)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b = np.array(r["li"], np.int64), np.array(r["lj"], np.int64)
+                cell = (a[:, None] * width + b[None, :]).ravel()
+                if r["bi"] == r["bj"]:
+                    cell = cell[(a[:, None] < b[None, :]).ravel()]
+                if len(cell):
+                    yield pa.record_batch([pa.array([x], t) for x, t in zip((r["bi"], r["bj"], cell.astype(np.int32), np.ones(len(cell), np.int64)), _CELLS.types)], schema=_CELLS)
+
+    return run
+
+
+def _sum(least: int, width: int):
+    """Sums the blocks of each item-block pair, one pair after another, and keeps the cells of at least ``least``."""
 
-def _sum(least: int):
-    """Sums the blocks of each item-block pair and keeps the cells of at least ``least``."""
+    def close(bi: int, bj: int, parts: list) -> Iterator[pa.RecordBatch]:
+        cells, counts = _fold(*(np.concatenate(x) for x in zip(*parts)))
+        cells, counts = cells[counts >= least], counts[counts >= least]
+        for at in range(0, len(cells), 50_000):
+            c = cells[at : at + 50_000]
+            yield pa.record_batch([pa.array(bi * width + c // width), pa.array(bj * width + c % width), pa.array(counts[at : at + 50_000])], names=["i", "j", "n_ab"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        pair, parts = None, []
         for batch in batches:
             for bi, bj, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                part = held.setdefault((bi, bj), [])
-                part.append((cells.values.to_numpy().astype(np.int64), counts.values.to_numpy()))
-                if len(part) >= 16:
-                    part[:] = [_fold(*(np.concatenate(x) for x in zip(*part)))]
-        for (bi, bj), part in held.items():
-            cells, counts = _fold(*(np.concatenate(x) for x in zip(*part)))
-            cells, counts = cells[counts >= least], counts[counts >= least]
-            for at in range(0, len(cells), 50_000):
-                c = cells[at : at + 50_000]
-                yield pa.record_batch([pa.array(bi * WIDTH + c // WIDTH), pa.array(bj * WIDTH + c % WIDTH), pa.array(counts[at : at + 50_000])], names=["i", "j", "n_ab"])
+                if (bi, bj) != pair:
+                    if pair:
+                        yield from close(*pair, parts)
+                    pair, parts = (bi, bj), []
+                parts.append((cells.values.to_numpy().astype(np.int64), counts.values.to_numpy()))
+                if len(parts) >= 16:
+                    parts = [_fold(*(np.concatenate(x) for x in zip(*parts)))]
+        if pair:
+            yield from close(*pair, parts)
 
     return run
 
 
-def item_pairs(df: DataFrame, basket: str, item: str, *, min_count: int = 1, min_lift: int = 0, large: int = 20_000) -> DataFrame:
+def item_pairs(df: DataFrame, basket: str, item: str, *, min_count: int = 1, min_lift: int = 0, large: int = 20_000, width: int = WIDTH, step: int = STEP) -> DataFrame:
     """Pairs of items in at least ``min_count`` common baskets and ``min_lift`` times as often as chance has it.
 
     Gives item_a < item_b (byte order), n_a, n_b, n_ab, n_baskets and lift = n_ab * n_baskets / (n_a * n_b).
 
-    Method: items get dense codes and form blocks of ``WIDTH``; the baskets, hashed into record blocks of bounded
+    Method: items get dense codes and form blocks of ``width``; the baskets, hashed into record blocks of bounded
     size, become binary sparse blocks; each record block adds its transpose-product, cut into item-block pairs,
     and these are summed per pair and normalised by the marginals. A basket of more than ``large`` items is
     itself cut into item blocks, whose pairs are multiplied in separate tasks. Items that can't reach a threshold
@@ -135,15 +154,15 @@ def item_pairs(df: DataFrame, basket: str, item: str, *, min_count: int = 1, min
         usual = coded.join(small(big), "basket", "left_anti")
         lists = materialise(
             coded.join(small(big), "basket", "left_semi")
-            .groupBy("basket", F.floor(F.col("code") / WIDTH).alias("b")).agg(F.sort_array(F.collect_list(F.col("code") % WIDTH)).alias("l"))
+            .groupBy("basket", F.floor(F.col("code") / width).alias("b")).agg(F.sort_array(F.collect_list(F.col("code") % width)).alias("l"))
         )
         salts = 64
         left = lists.select("basket", F.col("b").alias("bi"), F.col("l").alias("li"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         right = lists.select("basket", F.col("b").alias("bj"), F.col("l").alias("lj"), F.expr(f"cast(b % {salts} as int)").alias("salt"))
-        partial = left.join(right, ["basket", "salt"]).where("bi <= bj").select("bi", "bj", "li", "lj").mapInArrow(_outer, CELLS)
-    products = usual.repartition(parts, "basket").mapInArrow(_products(max(1, top)), CELLS)
+        partial = left.join(right, ["basket", "salt"]).where("bi <= bj").select("bi", "bj", "li", "lj").mapInArrow(_outer(width), CELLS)
+    products = usual.repartition(parts, "basket").mapInArrow(_products(max(1, top), width, step), CELLS)
     partial = products if partial is None else products.unionAll(partial)
-    summed = partial.repartition("bi", "bj").mapInArrow(_sum(min_count), "i bigint, j bigint, n_ab bigint")
+    summed = partial.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_sum(min_count, width), "i bigint, j bigint, n_ab bigint")
     names = small(items)
     a = names.select(F.col("code").alias("i"), F.col("item").alias("item_a"), F.col("n").alias("n_a"))
     b = names.select(F.col("code").alias("j"), F.col("item").alias("item_b"), F.col("n").alias("n_b"))

@@ -14,6 +14,8 @@ from siftmill.session import clean_id, discard, materialise, small
 
 #: A container that holds more terms than this bursts into one container per next character.
 BURST = 2_000
+#: Containers below a prefix of this many characters don't burst.
+DEPTH = 64
 #: A worker's trie is written out and begun anew at this many terms, which bounds a task's memory.
 TRIE_TERMS = 400_000
 
@@ -43,13 +45,13 @@ class BurstTrie:
         if found is None:
             node[suffix] = [occurrences, records]
             self.terms += 1
-            if len(node) > self.burst:
-                self._burst(node, parent, term[i - 1 : i] if parent is not None else "")
+            if len(node) > self.burst and i < DEPTH:
+                self._burst(node, parent, term[i - 1 : i] if parent is not None else "", i)
         else:
             found[0] += occurrences
             found[1] += records
 
-    def _burst(self, full: _Container, parent: dict | None, key: str) -> None:
+    def _burst(self, full: _Container, parent: dict | None, key: str, depth: int) -> None:
         inner: dict = {}
         for suffix, counters in full.items():
             inner.setdefault(suffix[:1], _Container())[suffix[1:]] = counters
@@ -57,6 +59,9 @@ class BurstTrie:
             self.root = inner
         else:
             parent[key] = inner
+        for k, node in list(inner.items()):
+            if k and len(node) > self.burst and depth + 1 < DEPTH:
+                self._burst(node, inner, k, depth + 1)
 
     def containers(self) -> Iterator[tuple[str, _Container]]:
         """Prefix and container of every leaf, in the order of the prefixes."""
@@ -85,9 +90,13 @@ def _rows(trie: BurstTrie, most: int = 200) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _SUBTREE.types)], schema=_SUBTREE)
 
 
-def _grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grower(burst: int):
+    return lambda batches: _grow(batches, burst)
+
+
+def _grow(batches: Iterable[pa.RecordBatch], burst: int) -> Iterator[pa.RecordBatch]:
     """Counts the terms of (text, counted) rows; ``counted`` says whether the row stands for a record of its own."""
-    trie, occurrences, records = BurstTrie(), Counter(), Counter()
+    trie, occurrences, records = BurstTrie(burst), Counter(), Counter()
 
     def pour() -> None:
         for term, n in occurrences.items():
@@ -108,7 +117,7 @@ def _grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pour()
         if trie.terms > TRIE_TERMS:
             yield from _rows(trie)
-            trie = BurstTrie()
+            trie = BurstTrie(burst)
     pour()
     yield from _rows(trie)
 
@@ -162,14 +171,14 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _routes(subtrees: DataFrame, parts: int) -> list[str]:
+def _routes(subtrees: DataFrame, parts: int, burst: int) -> list[str]:
     """Prefixes that share the partial terms out evenly: a prefix with more than its share is refined by a character.
 
     Each round the driver gets at most (prefixes above their share) x (characters that follow) numbers.
     """
     terms = subtrees.select(F.explode("suffixes").alias("s"), "prefix").select(F.concat("prefix", "s").alias("term"))
     total = subtrees.agg(F.sum(F.size("suffixes"))).first()[0] or 0
-    share, routes, heavy = max(BURST, total // max(1, parts)), [], None
+    share, routes, heavy = max(burst, total // max(1, parts)), [], None
     for depth in range(1, 33):
         key = F.substring("term", 1, depth)
         at = terms.where(F.char_length("term") >= depth)
@@ -183,7 +192,7 @@ def _routes(subtrees: DataFrame, parts: int) -> list[str]:
     return routes
 
 
-def term_statistics(df: DataFrame, record: str, text: str, *, rare_max: int = 2, common_percent: int = 25) -> DataFrame:
+def term_statistics(df: DataFrame, record: str, text: str, *, rare_max: int = 2, common_percent: int = 25, burst: int = BURST) -> DataFrame:
     """Every term of ``text`` with its occurrences, the number of distinct records that hold it, and a mark.
 
     A term is a maximal run of letters of any script and numbers in the lower-cased text. ``mark`` is 'rare' if at
@@ -226,11 +235,11 @@ def term_statistics(df: DataFrame, record: str, text: str, *, rare_max: int = 2,
     for p in parts:
         one = p.select("text", F.col("id").isNotNull().alias("counted"))
         grown = one if grown is None else grown.unionAll(one)
-    subtrees = materialise(grown.mapInArrow(_grow, SUBTREE))
+    subtrees = materialise(grown.mapInArrow(_grower(burst), SUBTREE))
     if extra is not None:
         more = extra.select(F.lit("").alias("prefix"), F.array("term").alias("suffixes"), F.array(F.lit(0).cast("bigint")).alias("occurrences"), F.array("n").alias("records"))
         subtrees = materialise(subtrees.unionAll(more))
-    routes = _routes(subtrees, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    routes = _routes(subtrees, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), burst)
     merged = subtrees.mapInArrow(_splitter(routes), "route string, " + SUBTREE).repartition("route").mapInArrow(_merge, "term string, occurrences bigint, records bigint")
     common = F.col("records") * 100 > F.lit(total * common_percent)
     return merged.withColumn("mark", F.when(F.col("records") <= rare_max, "rare").when(common, "common"))
