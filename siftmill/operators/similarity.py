@@ -14,41 +14,63 @@ from siftmill.session import dense_codes, materialise
 PRIME = 2_147_483_647
 
 
-def ranked_sets(df: DataFrame, owner: str, token: str, *, least: int = 1) -> DataFrame:
-    """(id, n, x): each owner's distinct tokens as codes, rare tokens first, for owners of ``least`` tokens or more."""
+#: Sets of more tokens than this are never gathered into an array; their overlaps are counted relationally.
+ARRAY = 4_096
+
+
+def ranked_tokens(df: DataFrame, owner: str, token: str, *, least: int = 1) -> DataFrame:
+    """(id, n, code): each owner's distinct tokens as codes that rise with frequency, for owners of ``least`` tokens or more."""
     rows = materialise(df.select(F.col(owner).alias("id"), F.col(token).alias("t")).dropna().distinct())
     kept = rows.join(rows.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= least), "id")
     codes = materialise(kept.groupBy("t").agg(F.count(F.lit(1)).alias("f")).orderBy("f", "t").withColumn("code", F.monotonically_increasing_id()))
-    return materialise(kept.join(codes, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list("code")).alias("x")))
+    return materialise(kept.join(codes, "t").select("id", "n", "code"))
+
+
+def _overlaps(met: DataFrame, coded: DataFrame, array: int) -> DataFrame:
+    """The overlap of pairs (a, b) of sets of at most ``array`` tokens."""
+    sets = materialise(coded.where(F.col("n") <= array).groupBy("id", "n").agg(F.sort_array(F.collect_list("code")).alias("x")))
+    x = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"))
+    y = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"))
+    return met.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x_a", "x_b")).cast("long").alias("n_ab"))
 
 
-def _candidates(sets: DataFrame, prefix: str, fits: str) -> DataFrame:
-    """Pairs l, r (by id, l < r) that share one of their ``prefix`` rarest tokens and meet ``fits``, with their overlap.
+def _with_giants(coded: DataFrame, array: int, fits: str) -> DataFrame:
+    """Pairs (a < b) with a set of more than ``array`` tokens, by counting common tokens over the inverted lists."""
+    l, r = coded.where(F.col("n") > array).alias("l"), coded.alias("r")
+    both = l.join(r, (F.col("l.code") == F.col("r.code")) & F.expr(f"(r.n <= {array} or l.id < r.id) and l.id <> r.id and {fits}"))
+    n = both.groupBy(F.col("l.id").alias("i"), F.col("r.id").alias("j"), F.col("l.n").alias("n_i"), F.col("r.n").alias("n_j")).agg(F.count(F.lit(1)).alias("n_ab"))
+    first = F.col("i") < F.col("j")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return n.select(pick("i", "j").alias("a"), pick("j", "i").alias("b"), pick("n_i", "n_j").alias("n_a"), pick("n_j", "n_i").alias("n_b"), "n_ab")
+
+
+def _pairs(coded: DataFrame, prefix: str, fits: str, room: str, array: int) -> DataFrame:
+    """Pairs a < b that share one of their ``prefix`` rarest tokens and meet ``fits``, with their overlap.
 
     Tokens that occur in many sets come last in every set, so long inverted lists take part only where a set has
     hardly any other tokens.
     """
-    heads = sets.select("id", "n", F.posexplode(F.expr(f"slice(x, 1, {prefix})")).alias("at", "code"))
+    ranked = coded.where(F.col("n") <= array).groupBy("id", "n").agg(F.sort_array(F.collect_list("code")).alias("x"))
+    heads = ranked.select("id", "n", F.posexplode(F.expr(f"slice(x, 1, {prefix})")).alias("at", "code"))
     l, r = heads.alias("l"), heads.alias("r")
-    met = l.join(r, (F.col("l.code") == F.col("r.code")) & (F.col("l.id") < F.col("r.id")) & F.expr(fits)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    x = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"))
-    y = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"))
-    return met.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x_a", "x_b")).alias("n_ab"))
+    met = l.join(r, (F.col("l.code") == F.col("r.code")) & (F.col("l.id") < F.col("r.id")) & F.expr(f"{fits} and {room}"))
+    out = _overlaps(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), coded, array)
+    return out.unionByName(_with_giants(coded, array, fits)) if coded.where(F.col("n") > array).limit(1).count() else out
 
 
-def overlapping_pairs(df: DataFrame, owner: str, token: str, least: int) -> DataFrame:
+def overlapping_pairs(df: DataFrame, owner: str, token: str, least: int, *, array: int = ARRAY) -> DataFrame:
     """Pairs a < b of owners with at least ``least`` common tokens, without comparing all owners."""
-    sets = ranked_sets(df, owner, token, least=least)
+    coded = ranked_tokens(df, owner, token, least=least)
     room = f"(1 + least(l.n - 1 - l.at, r.n - 1 - r.at)) >= {least}"
-    return _candidates(sets, f"n - {least - 1}", room).where(F.col("n_ab") >= least)
+    return _pairs(coded, f"n - {least - 1}", "true", room, array).where(F.col("n_ab") >= least)
 
 
-def jaccard_pairs(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 10, least: int = 1) -> DataFrame:
+def jaccard_pairs(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 10, least: int = 1, array: int = ARRAY) -> DataFrame:
     """Pairs a < b of owners with Jaccard similarity num/den or more (exact), among owners of ``least`` tokens or more."""
-    sets = ranked_sets(df, owner, token, least=least)
-    fits = f"l.n * {den} >= r.n * {num} and r.n * {den} >= l.n * {num} and (1 + least(l.n - 1 - l.at, r.n - 1 - r.at)) * {num + den} >= (l.n + r.n) * {num}"
-    pairs = _candidates(sets, f"n - cast(({num} * n + {den - 1}) div {den} as int) + 1", fits)
-    return _with_similarity(pairs, num, den)
+    coded = ranked_tokens(df, owner, token, least=least)
+    fits = f"l.n * {den} >= r.n * {num} and r.n * {den} >= l.n * {num}"
+    room = f"(1 + least(l.n - 1 - l.at, r.n - 1 - r.at)) * {num + den} >= (l.n + r.n) * {num}"
+    return _with_similarity(_pairs(coded, f"n - cast(({num} * n + {den - 1}) div {den} as int) + 1", fits, room, array), num, den)
 
 
 def _with_similarity(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -80,14 +102,17 @@ def lsh_candidates(buckets: DataFrame) -> DataFrame:
     return l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
-def lsh_pairs(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 10, bands: int = 50, rows: int = 2, seed: int = 42, least: int = 1) -> DataFrame:
+def lsh_pairs(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 10, bands: int = 50, rows: int = 2, seed: int = 42, least: int = 1, array: int = ARRAY) -> DataFrame:
     """Banded min-hash join, verified exactly: no false pairs; a pair of similarity s is found with 1-(1-s^rows)^bands."""
     sigs = materialise(signatures(df, owner, token, bands * rows, seed=seed, least=least))
     met = lsh_candidates(band_buckets(sigs, bands, rows))
-    sets = ranked_sets(df, owner, token, least=least)
-    x = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"))
-    y = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"))
-    counted = met.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x_a", "x_b")).alias("n_ab"))
+    coded = ranked_tokens(df, owner, token, least=least)
+    big = coded.where(F.col("n") > array).select("id").distinct()
+    counted = _overlaps(met, coded, array)
+    if not big.isEmpty():
+        # Candidates with a set too large to gather: only their own tokens are counted.
+        far = met.join(big, met["a"] == big["id"], "left_semi").unionAll(met.join(big, met["b"] == big["id"], "left_semi")).distinct()
+        counted = counted.unionByName(_with_giants(coded, array, "true").join(far, ["a", "b"], "left_semi"))
     return _with_similarity(counted, num, den)
 
 

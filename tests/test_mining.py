@@ -83,13 +83,15 @@ def test_set_similarity(spark):
     sets = {f"s{i}": {f"t{int(rng.paretovariate(0.5)) % 40}" for _ in range(rng.randint(1, 20))} for i in range(60)}
     df = spark.createDataFrame([(k, t) for k, s in sets.items() for t in s] + [(None, "t1"), ("s1", None)], "o string, t string")
     pairs = [(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in itertools.combinations(sorted(sets), 2)]
-    got = {(r.a, r.b) for r in similarity.jaccard_pairs(df, "o", "t", num=3, den=10).collect()}
-    assert got == {(a, b) for a, b, n, u in pairs if n * 10 >= 3 * u}
-    over = {(r.a, r.b): r.n_ab for r in similarity.overlapping_pairs(df, "o", "t", 4).collect()}
-    assert over == {(a, b): n for a, b, n, _ in pairs if n >= 4}
+    for array in (4096, 8):
+        found = similarity.jaccard_pairs(df, "o", "t", num=3, den=10, array=array).collect()
+        got = {(r.a, r.b) for r in found}
+        assert got == {(a, b) for a, b, n, u in pairs if n * 10 >= 3 * u} and len(found) == len(got)
+        over = {(r.a, r.b): r.n_ab for r in similarity.overlapping_pairs(df, "o", "t", 4, array=array).collect()}
+        assert over == {(a, b): n for a, b, n, _ in pairs if n >= 4}
     lsh = {(r.a, r.b) for r in similarity.lsh_pairs(df, "o", "t", num=3, den=10, bands=30, rows=2).collect()}
     assert lsh <= got and len(lsh) > 0.7 * len(got)
-    assert lsh == {(r.a, r.b) for r in similarity.lsh_pairs(df, "o", "t", num=3, den=10, bands=30, rows=2).collect()}
+    assert lsh == {(r.a, r.b) for r in similarity.lsh_pairs(df, "o", "t", num=3, den=10, bands=30, rows=2, array=8).collect()}
 
 
 @pytest.fixture(scope="module")
