@@ -27,6 +27,8 @@ NAMES = {
     "ru": ("ru", "rus", "russian", "русский"),
     "ja": ("ja", "jpn", "japanese", "日本語"),
 }
+# The language that an address suffix suggests.
+SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "pt": "pt", "br": "pt", "fr": "fr", "de": "de", "at": "de", "it": "it", "nl": "nl", "ru": "ru", "jp": "ja"}
 #: Longest character n-gram, weight of whole words against n-grams, least likelihood ratio that one word can give.
 ORDER, WORD_SHARE, WORD_FLOOR = 4, 0.5, -7.0
 #: Cost in nats of a change of language inside a sentence, and of a sentence that differs from its document.
@@ -53,6 +55,17 @@ def label_language(label: Column | str) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for code, names in NAMES.items() for n in names for x in (n, code))), plain)
 
 
+def markup_language(text: Column | str) -> Column:
+    """The language declared by the first lang attribute of a text's markup, else null."""
+    return label_language(F.regexp_extract(text, r"""(?i)<[a-z][^<>]*?\s(?:xml:)?lang\s*=\s*["']?([a-z_-]+)""", 1))
+
+
+def address_language(text: Column | str) -> Column:
+    """The language suggested by the country suffix of the first web address in a text, else null."""
+    found = F.lower(F.regexp_extract(text, r"(?i)https?://[a-z0-9.-]+\.([a-z]{2})(?![a-z0-9.-])", 1))
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair)), found)
+
+
 def _bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
@@ -184,6 +197,8 @@ class TextModel:
         return total, [(a, z, lang, n, sure / n) for a, z, lang, n, sure in found]
 
 
+#: Columns of a scored document that name a language.
+EVIDENCE = ("label_lang", "markup", "address")
 SCORED = "scores array<double>, segments array<struct<begin:int,end:int,lang:string,sentences:int,confidence:double>>"
 
 
@@ -211,9 +226,10 @@ def identify(df: DataFrame, item: str, text: str, label: str, source: str, host:
     document, the mean confidence of its sentences.
 
     Method: text likelihoods come from words and character n-grams, learnt from at most ``sample_rows`` rows (by
-    hash order) of ``sample`` (lang, text); the declared label gives a likelihood from how often labels are right,
-    and host and source give a prior, smoothed from all documents over the source to the host. Both are computed by
-    grouped aggregation over all documents. The posterior is the product of the three.
+    hash order) of ``sample`` (lang, text); the label, a language declared in the text's markup and the suffix of an
+    address in it each give a likelihood from how often they are right; host and source give a prior, smoothed from
+    all documents over the source to the host. All of these come from grouped aggregation over all documents. The
+    posterior is the product.
 
     Defined cases: null and empty texts and texts without letters have lang null, no segments, confidence null; null
     source or host forms a group of its own; labels are read by ``label_language``, anything else counts as missing;
@@ -224,17 +240,18 @@ def identify(df: DataFrame, item: str, text: str, label: str, source: str, host:
         sample = sample.orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(sample_rows)
     learnt = [(r.lang, r.text) for r in sample.select("lang", "text").dropna().collect()]
     kind = df.schema[item].dataType.simpleString()
-    rows = df.select(F.col(item).alias("item"), label_language(label).alias("label_lang"), F.col(source).cast("string").alias("s"), F.col(host).cast("string").alias("h"), F.col(text).alias("text"))
-    scored = materialise(rows.mapInArrow(_score(learnt, languages), f"item {kind}, label_lang string, s string, h string, {SCORED}"))
+    rows = df.select(F.col(item).alias("item"), label_language(label).alias("label_lang"), markup_language(text).alias("markup"), address_language(text).alias("address"), F.col(source).cast("string").alias("s"), F.col(host).cast("string").alias("h"), F.col(text).alias("text"))
+    scored = materialise(rows.mapInArrow(_score(learnt, languages), f"item {kind}, label_lang string, markup string, address string, s string, h string, {SCORED}"))
     scored = scored.withColumn("main", F.when(F.size("segments") > 0, F.expr("array_sort(transform(segments, x -> struct(-x.sentences as a, x.begin - x.end as c, x.lang as b)))[0].b")))
 
     # How often labels are right, and how the languages are spread: all documents, source, host in source.
     known = scored.where("main is not null")
-    by_host = materialise(known.groupBy("s", "h", "main").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("label_lang") == F.col("main")).alias("right"), F.count("label_lang").alias("labelled")))
-    overall = {r.main: r for r in by_host.groupBy("main").agg(F.sum("c").alias("c"), F.sum("right").alias("right"), F.sum("labelled").alias("labelled")).collect()}
+    by_host = materialise(known.groupBy("s", "h", "main").agg(F.count(F.lit(1)).alias("c"), *(f(c) for c in EVIDENCE for f in (lambda c: F.count_if(F.col(c) == F.col("main")).alias(f"right_{c}"), lambda c: F.count(c).alias(f"all_{c}")))))
+    sums = [f"{k}_{c}" for c in EVIDENCE for k in ("right", "all")]
+    overall = {r.main: r for r in by_host.groupBy("main").agg(F.sum("c").alias("c"), *(F.sum(c).alias(c) for c in sums)).collect()}
     total = sum(r.c for r in overall.values()) + len(languages)
     everywhere = F.array(*(F.lit(((overall[l].c if l in overall else 0) + 1) / total) for l in languages))
-    right = (sum(r.right for r in overall.values()) + 1) / (sum(r.labelled for r in overall.values()) + 2)
+    right = {c: (sum(r[f"right_{c}"] for r in overall.values()) + 1) / (sum(r[f"all_{c}"] for r in overall.values()) + 2) for c in EVIDENCE}
 
     def spread(keys: list[str]) -> DataFrame:
         counts = by_host.groupBy(*keys).agg(*(F.sum(F.when(F.col("main") == l, F.col("c")).otherwise(0)).cast("double").alias(f"c{i}") for i, l in enumerate(languages)))
@@ -246,8 +263,11 @@ def identify(df: DataFrame, item: str, text: str, label: str, source: str, host:
     of_host = materialise(of_host)
     joined = scored.join(small(of_host), F.col("s").eqNullSafe(F.col("s1")) & F.col("h").eqNullSafe(F.col("h1")), "left")
     names = F.array(*(F.lit(l) for l in languages))
-    wrong = (1 - right) / max(1, len(languages) - 1)
-    evidence = F.transform(names, lambda l: F.when(F.col("label_lang").isNull(), 0.0).when(F.col("label_lang") == l, math.log(right)).otherwise(math.log(wrong)))
+    def says(column: str, language: Column) -> Column:
+        wrong = (1 - right[column]) / max(1, len(languages) - 1)
+        return F.when(F.col(column).isNull() | ~F.col(column).isin(languages), 0.0).when(F.col(column) == language, math.log(right[column])).otherwise(math.log(wrong))
+
+    evidence = F.transform(names, lambda l: sum((says(c, l) for c in EVIDENCE[1:]), says(EVIDENCE[0], l)))
     logs = F.zip_with(F.zip_with(F.transform("scores", lambda x: x * TEMPER), F.transform(F.coalesce("prior", everywhere), lambda p: F.log(p)), lambda x, y: x + y), evidence, lambda x, y: x + y)
     weights = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
     fused = joined.withColumn("logs", logs).withColumn("w", weights).withColumn("best", F.element_at(names, F.array_position("logs", F.array_max("logs")).cast("int")))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from siftmill.llm import terms
-from siftmill.llm.langid import NAMES, TextModel, identify, label_language
+from siftmill.llm.langid import NAMES, TextModel, address_language, identify, label_language, markup_language
 from siftmill.llm.mixing import Target, largest_total, mix, route, share_report, source_name
 from siftmill.llm.packing import fill_report, pack, plan_containers
 from siftmill.llm.tokens import count_tokens, token_count
@@ -207,6 +207,12 @@ def test_labels(spark):
     assert [r[0] for r in df.select(label_language("l")).collect()] == list(cases.values())
 
 
+def test_declared_languages(spark):
+    texts = ['<p class="a" lang="pt-BR">Oi</p>', "<div xml:lang='de'>", "see https://shop.example.fr/menu and http://x.de", "http://a.com/x.de", "lang=fr", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [tuple(r) for r in df.select(markup_language("t"), address_language("t")).collect()] == [("pt", None), ("de", None), (None, "fr"), (None, None), (None, None), (None, None), (None, None)]
+
+
 def test_held_out_accuracy():
     pq = pytest.importorskip("pyarrow.parquet")
     try:
