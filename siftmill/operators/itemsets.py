@@ -168,3 +168,17 @@ def two_phase_itemsets(rows: DataFrame, support: int, chunk: Column, *, max_size
 def by_length(itemsets: DataFrame) -> DataFrame:
     """Itemsets gathered by length in order, as a report of bounded size."""
     return itemsets.groupBy(F.size("itemset").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("itemset")).alias("itemsets"))
+
+
+def association_rules(itemsets: DataFrame, n_baskets: int) -> DataFrame:
+    """Rules antecedent -> item from frequent itemsets: support, confidence and lift.
+
+    ``itemsets`` is a complete result (itemset, support), so that every antecedent and item is in it.
+    """
+    longer = itemsets.where(F.size("itemset") > 1).select("itemset", "support", F.explode("itemset").alias("item"))
+    rules = longer.select(F.array_remove("itemset", F.col("item")).alias("antecedent"), "item", "support")
+    known = itemsets.select(F.col("itemset").alias("antecedent"), F.col("support").alias("n_antecedent"))
+    single = itemsets.where(F.size("itemset") == 1).select(F.col("itemset")[0].alias("item"), F.col("support").alias("n_item"))
+    joined = rules.join(known, "antecedent").join(single, "item")
+    confidence = F.col("support") / F.col("n_antecedent")
+    return joined.select("antecedent", "item", "support", confidence.alias("confidence"), (confidence * F.lit(float(n_baskets)) / F.col("n_item")).alias("lift"))

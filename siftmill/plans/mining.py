@@ -50,6 +50,12 @@ def partition_random_counts(spark: SparkSession, d: str) -> DataFrame:
     return basic.group_counts(basic.randomly_partitioned(D.reviews(spark, d).select("business_id"), 27), "business_id", above=4)
 
 
+def partition_document(spark: SparkSession, d: str) -> DataFrame:
+    """Number of partitions, rows in each, and the keys above the threshold, as one JSON object."""
+    rows = basic.hash_partitioned(D.reviews(spark, d).select("business_id"), "business_id", 27)
+    return files.document(spark, n_partitions=27, n_items=basic.partition_sizes(rows, 27).orderBy("partition"), result=basic.group_counts(rows, "business_id", above=4))
+
+
 # Ratings --------------------------------------------------------------------------------------------------------
 
 def _ratings(spark: SparkSession, d: str) -> DataFrame:
@@ -156,6 +162,24 @@ def itemsets_by_length(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.by_length(found).withColumn("itemsets", F.array_join(F.transform("itemsets", lambda x: F.array_join(x, ",")), ";"))
 
 
+def association_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialise(_entries(spark, d))
+    rules = itemsets.association_rules(materialise(itemsets.frequent_itemsets(rows, SUPPORT)), rows.select("basket").distinct().count())
+    return rules.select(F.array_join("antecedent", ",").alias("antecedent"), "item", "support", F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"))
+
+
+def itemset_document(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates and frequent itemsets by length, and the run time, as one JSON object."""
+    rows = materialise(_entries(spark, d))
+
+    def run() -> tuple[DataFrame, DataFrame]:
+        candidates = materialise(itemsets.local_candidates(rows, 4 * SUPPORT, _chunk()))
+        return candidates, materialise(itemsets.count_itemsets(candidates, rows, 4 * SUPPORT))
+
+    (candidates, frequent), took = files.timed(run)
+    return files.document(spark, candidates=itemsets.by_length(candidates), frequent=itemsets.by_length(frequent), runtime=took["time"])
+
+
 # Similarity -----------------------------------------------------------------------------------------------------
 
 def _pairs_of_review(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +233,14 @@ def neighbour_predictions(spark: SparkSession, d: str) -> DataFrame:
     return recommend.predict_neighbours(D.test_pairs(spark, d), r, materialise(_model(spark, d, r)), n=3).withColumn("stars", F.round("stars", 6))
 
 
+def user_neighbour_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The user-based form: the same operators with users and items in each other's place."""
+    swap = lambda df: df.select(*(F.col(c).alias({"user": "item", "item": "user"}.get(c, c)) for c in df.columns))
+    r = materialise(swap(_ratings(spark, d)))
+    p = recommend.predict_neighbours(swap(D.test_pairs(spark, d)), r, materialise(_model(spark, d, r)), n=3)
+    return swap(p).withColumn("stars", F.round("stars", 6))
+
+
 def stored_model_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Predictions with the model table, its repeated pairs reduced to their highest similarity."""
     m = load(spark, d, "model").where("sim is not null and not isnan(sim)").select(F.btrim("b1", F.lit(" \t")).alias("x"), F.btrim("b2", F.lit(" \t")).alias("y"), "sim").where("x <> y")
@@ -301,6 +333,10 @@ def graph_lines(spark: SparkSession, d: str) -> DataFrame:
     return files.community_lines(graph.communities(graph.connected_components(_edges(spark, d)), "component"))
 
 
+def graph_edge_lines(spark: SparkSession, d: str) -> DataFrame:
+    return files.edge_lines(graph.edge_betweenness(_edges(spark, d, 7)))
+
+
 # Clustering -----------------------------------------------------------------------------------------------------
 
 def _centres(p: DataFrame, k: int = 10) -> list[list[float]]:
@@ -362,6 +398,10 @@ def chunk_rounds(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cluster_chunks(D.points(spark, d), max_rounds=10).rounds(spark)
 
 
+def chunk_label_lines(spark: SparkSession, d: str) -> DataFrame:
+    return files.point_map(chunk_labels(spark, d))
+
+
 # Sources and sinks ----------------------------------------------------------------------------------------------
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -411,6 +451,7 @@ def queries() -> dict:
         "partition_buckets": partition_buckets,
         "partition_hash_sizes": partition_hash_sizes,
         "partition_random_counts": partition_random_counts,
+        "partition_document": partition_document,
         "mean_ratings": mean_ratings,
         "last_ratings": last_ratings,
         "user_means": _means("user"),
@@ -431,6 +472,8 @@ def queries() -> dict:
         "two_phase_itemsets": two_phase_itemsets,
         "itemsets_by_business": itemsets_by_business,
         "itemsets_by_length": itemsets_by_length,
+        "association_rules": association_rules,
+        "itemset_document": itemset_document,
         "overlapping_pairs": overlapping_pairs,
         "jaccard_pairs": jaccard_pairs,
         "minhash_signatures": minhash_signatures,
@@ -439,6 +482,7 @@ def queries() -> dict:
         "item_model": item_model,
         "item_model_strict": item_model_strict,
         "neighbour_predictions": neighbour_predictions,
+        "user_neighbour_predictions": user_neighbour_predictions,
         "stored_model_predictions": stored_model_predictions,
         "collaborative_predictions": collaborative_predictions,
         "rating_features": rating_features,
@@ -455,6 +499,7 @@ def queries() -> dict:
         "graph_modularity": graph_modularity,
         "graph_divided": graph_divided,
         "graph_lines": graph_lines,
+        "graph_edge_lines": graph_edge_lines,
         "point_assignment": point_assignment,
         "kmeans_step": kmeans_step,
         "cluster_summaries": cluster_summaries,
@@ -465,6 +510,7 @@ def queries() -> dict:
         "size_split": size_split,
         "chunk_labels": chunk_labels,
         "chunk_rounds": chunk_rounds,
+        "chunk_label_lines": chunk_label_lines,
         "source_json": source_json,
         "source_csv": source_csv,
         "source_model": source_model,

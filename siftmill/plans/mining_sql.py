@@ -109,6 +109,13 @@ ASSIGNED = f"(SELECT id, f, d, i FROM (SELECT id, f, list_distance(f, c) AS d, i
 CELLS = f"(SELECT label, chunk, id, unnest(f) AS x, CAST(generate_subscripts(f, 1) - 1 AS INT) AS dim FROM {POINTS})"
 
 
+SWAPPED = lambda t: f'(SELECT item AS "user", "user" AS item FROM {t})'
+SWAPPED_RATINGS = f'(SELECT item AS "user", "user" AS item, stars FROM {RATINGS})'
+RULES = f"""WITH a AS ({_levels(ENTRIES, str(SUPPORT))}), i AS (SELECT string_split(itemset, ',') AS s, support FROM a), n AS (SELECT count(DISTINCT u) AS n FROM {UB})
+  SELECT array_to_string(ante, ',') AS antecedent, item, r.support, round(r.support / x.support, 6) AS confidence, round(r.support / x.support * n.n / y.support, 6) AS lift
+  FROM (SELECT list_filter(s, lambda z: z <> item) AS ante, item, support FROM (SELECT s, support, unnest(s) AS item FROM i WHERE len(s) > 1)) r JOIN i x ON x.s = r.ante JOIN i y ON y.s = [r.item], n"""
+
+
 def statements() -> dict[str, str]:
     mean = lambda key: f'SELECT "{key}", round(avg(stars), 6) AS mean, count(*) AS n FROM {RAW} GROUP BY 1'
     items = lambda more="": f"SELECT u AS basket, string_agg(b, ',' ORDER BY b) AS items FROM {UB} GROUP BY 1{more}"
@@ -154,6 +161,7 @@ def statements() -> dict[str, str]:
         "two_phase_itemsets": joined(_levels(ENTRIES, str(SUPPORT))),
         "itemsets_by_business": joined(_levels(f"SELECT b AS basket, u AS item FROM {UB}", str(SUPPORT), top=6)),
         "itemsets_by_length": f"SELECT CAST(k AS INT) AS k, count(*) AS n, string_agg(itemset, ';' ORDER BY string_split(itemset, ',')) AS itemsets FROM ({_levels(ENTRIES, str(SUPPORT))}) GROUP BY 1",
+        "association_rules": RULES,
         "overlapping_pairs": f"WITH e AS ({SETS}) SELECT * FROM ({OVERLAP}) WHERE n >= {CO_RATED}",
         "jaccard_pairs": f"WITH {BIG} SELECT a, b, round(o.n / (x.n + y.n - o.n), 6) AS sim FROM ({OVERLAP}) o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE o.n * 4 >= x.n + y.n",
         "minhash_signatures": f"WITH {BIG}, {SIGS} SELECT id, string_agg(v, ',' ORDER BY h) AS sig FROM m GROUP BY 1",
@@ -162,6 +170,7 @@ def statements() -> dict[str, str]:
         "item_model": f"SELECT b1, b2, n, round(sim, 6) AS sim FROM ({_model(RATINGS, CO_RATED, '0.1')})",
         "item_model_strict": f"SELECT b1, b2, n, round(sim, 6) AS sim FROM ({_model(RATINGS, 2 * CO_RATED, '0')})",
         "neighbour_predictions": f'SELECT "user", item, round(stars, 6) AS stars, rule FROM ({_predicted(TEST, RATINGS, _model(RATINGS, CO_RATED, "0.1"))})',
+        "user_neighbour_predictions": f'SELECT item AS "user", "user" AS item, round(stars, 6) AS stars, rule FROM ({_predicted(SWAPPED(TEST), SWAPPED_RATINGS, _model(SWAPPED_RATINGS, CO_RATED, "0.1"))})',
         "stored_model_predictions": f'SELECT "user", item, round(stars, 6) AS stars, rule FROM ({_predicted(TEST, RATINGS, STORED)})',
         "collaborative_predictions": f"""WITH {_neighbours(TEST, RATINGS, _model(RATINGS, CO_RATED, "0.1"), 40)} SELECT "user", item,
   round(CASE WHEN um IS NULL OR im IS NULL THEN coalesce(um, im, 2.5) WHEN num * den <> 0 THEN num / den ELSE im END, 6) AS stars, coalesce(h, 0) AS history
