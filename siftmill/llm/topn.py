@@ -58,7 +58,7 @@ def top_per_group(df: DataFrame, group: str, item: str, score: str, n: int) -> D
     state = materialise(sizes.select("g", F.lit(n).cast("bigint").alias("k"), F.lit(0).alias("level"), "lo", "hi", (F.col("n") <= n).alias("whole")))
     open_groups = state.where("not whole").drop("whole")
     taken = [rows.join(small(state.where("whole").select("g")), "g", "left_semi")] if n > 0 else [rows.limit(0)]
-    left, steps = rows, 0
+    left, previous = rows, None
     while n > 0 and not open_groups.isEmpty():
         placed = left.join(small(open_groups), "g").withColumn("w", _word(F.col("level"))).withColumn("next", _word(F.col("level") + 1))
         slot = F.expr(f"(w - lo) div ((hi - lo) div {CUTS} + 1)")
@@ -78,9 +78,8 @@ def top_per_group(df: DataFrame, group: str, item: str, score: str, n: int) -> D
             .where("at <= slot").select("g", "id", "score", "score_code", F.expr("at < slot or done").alias("taken"))
         )
         taken.append(decided.where("taken").drop("taken"))
-        if steps:
-            discard(open_cuts)  # noqa: F821
-        left, open_cuts, steps = decided.where("not taken").drop("taken"), cuts, steps + 1
+        discard(previous)
+        left, previous = decided.where("not taken").drop("taken"), cuts
         open_groups = cuts.where("not done").select("g", F.col("rest").alias("k"), F.col("then").alias("level"), F.col("then_lo").alias("lo"), F.col("then_hi").alias("hi"))
     best = reduce(DataFrame.unionByName, taken)
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "id"))
