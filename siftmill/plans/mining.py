@@ -12,7 +12,7 @@ from siftmill.session import load, materialise, shared_dir
 from siftmill.sources import files
 
 YEAR, SUPPORT, CHUNKS, BUCKETS = 2018, 9, 4, 1000
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 50, 2
 CO_RATED, EDGE = 8, 5
 
 
@@ -195,16 +195,16 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.signatures(_pairs_of_review(spark, d), "business_id", "user_id", BANDS * ROWS, least=5).select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+    return similarity.signatures(_pairs_of_review(spark, d), "business_id", "user_id", BANDS * ROWS).select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
-    sigs = materialise(similarity.signatures(_pairs_of_review(spark, d), "business_id", "user_id", BANDS * ROWS, least=5))
+    sigs = materialise(similarity.signatures(_pairs_of_review(spark, d), "business_id", "user_id", BANDS * ROWS))
     return similarity.lsh_candidates(similarity.band_buckets(sigs, BANDS, ROWS))
 
 
 def lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.lsh_pairs(_pairs_of_review(spark, d), "business_id", "user_id", num=1, den=3, bands=BANDS, rows=ROWS, least=5).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.lsh_pairs(_pairs_of_review(spark, d), "business_id", "user_id", bands=BANDS, rows=ROWS).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 def _model(spark: SparkSession, d: str, ratings: DataFrame | None = None) -> DataFrame:
