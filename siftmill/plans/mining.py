@@ -191,7 +191,7 @@ def overlapping_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.jaccard_pairs(_pairs_of_review(spark, d), "business_id", "user_id", num=1, den=3, least=5).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.jaccard_pairs(_pairs_of_review(spark, d), "business_id", "user_id").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:

@@ -30,3 +30,8 @@ def test_lsh_pairs_reach_a_recall_of_nine_tenths_from_one_third(spark):
     alike = {p for p, sim in exact.items() if sim * 3 >= 1}
     assert alike and len(alike & found.keys()) >= 0.9 * len(alike)
     assert min(found.values()) < 0.2
+
+
+def test_jaccard_pairs_are_all_pairs_from_one_tenth(spark):
+    got = {(r.a, r.b): r.sim for r in entry.queries()["jaccard_pairs"](spark, DATA).collect()}
+    assert got == {p: round(sim, 6) for p, sim in exact_similarities(DATA).items()}
