@@ -13,7 +13,7 @@ from siftmill.sources import files
 
 YEAR, SUPPORT, CHUNKS, BUCKETS = 2018, 9, 4, 1000
 BANDS, ROWS = 50, 2
-CO_RATED, EDGE = 8, 5
+CO_RATED, EDGE = 3, 5
 
 
 # Counts, words, categories -------------------------------------------------------------------------------------

@@ -35,3 +35,13 @@ def test_lsh_pairs_reach_a_recall_of_nine_tenths_from_one_third(spark):
 def test_jaccard_pairs_are_all_pairs_from_one_tenth(spark):
     got = {(r.a, r.b): r.sim for r in entry.queries()["jaccard_pairs"](spark, DATA).collect()}
     assert got == {p: round(sim, 6) for p, sim in exact_similarities(DATA).items()}
+
+
+def test_item_model_takes_pairs_of_three_common_raters(spark):
+    from siftmill.operators import similarity
+    from siftmill.plans import datasets
+
+    ratings = datasets.raw_ratings(spark, MORE).groupBy("user", "item").agg({"stars": "avg"}).withColumnRenamed("avg(stars)", "stars")
+    want = {(r.b1, r.b2, r.n) for r in similarity.correlated_items(ratings).collect()}
+    got = {(r.b1, r.b2, r.n) for r in entry.queries()["item_model"](spark, MORE).collect()}
+    assert got == want and min(n for *_, n in got) == 3
