@@ -391,11 +391,11 @@ def size_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_labels(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_chunks(D.points(spark, d), max_rounds=10).labels()
+    return cluster.cluster_chunks(D.points(spark, d)).labels()
 
 
 def chunk_rounds(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_chunks(D.points(spark, d), max_rounds=10).rounds(spark)
+    return cluster.cluster_chunks(D.points(spark, d)).rounds(spark)
 
 
 def chunk_label_lines(spark: SparkSession, d: str) -> DataFrame:

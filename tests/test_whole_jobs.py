@@ -45,3 +45,18 @@ def test_item_model_takes_pairs_of_three_common_raters(spark):
     want = {(r.b1, r.b2, r.n) for r in similarity.correlated_items(ratings).collect()}
     got = {(r.b1, r.b2, r.n) for r in entry.queries()["item_model"](spark, MORE).collect()}
     assert got == want and min(n for *_, n in got) == 3
+
+
+@pytest.mark.parametrize("name", ["chunk_labels", "chunk_rounds"])
+def test_chunked_clustering_runs_to_zero_shift(spark, monkeypatch, name):
+    from siftmill.operators import cluster
+
+    class Made(Exception):
+        pass
+
+    def started(self, chunk):
+        raise Made(self.max_rounds)
+
+    monkeypatch.setattr(cluster.ChunkedClustering, "feed", started)
+    with pytest.raises(Made, match="^1000$"):
+        entry.queries()[name](spark, DATA)
