@@ -60,3 +60,12 @@ def test_chunked_clustering_runs_to_zero_shift(spark, monkeypatch, name):
     monkeypatch.setattr(cluster.ChunkedClustering, "feed", started)
     with pytest.raises(Made, match="^1000$"):
         entry.queries()[name](spark, DATA)
+
+
+def test_blended_model_is_the_operators_own(spark, monkeypatch):
+    from siftmill.operators import recommend
+
+    seen, model = [], recommend.predict_model
+    monkeypatch.setattr(recommend, "predict_model", lambda train, test, **how: seen.append(how) or model(train, test, trees=1, depth=1))
+    entry.queries()["blended_predictions"](spark, DATA)
+    assert seen and seen[0].get("trees", 95) == 95 and seen[0].get("depth", 10) == 10
