@@ -142,7 +142,7 @@ def triple_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def local_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _sorted(itemsets.local_candidates(_entries(spark, d), 4 * SUPPORT, _chunk(), max_size=3))
+    return _sorted(itemsets.local_candidates(_entries(spark, d), SUPPORT, _chunk()))
 
 
 def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
@@ -173,8 +173,8 @@ def itemset_document(spark: SparkSession, d: str) -> DataFrame:
     rows = materialise(_entries(spark, d))
 
     def run() -> tuple[DataFrame, DataFrame]:
-        candidates = materialise(itemsets.local_candidates(rows, 4 * SUPPORT, _chunk()))
-        return candidates, materialise(itemsets.count_itemsets(candidates, rows, 4 * SUPPORT))
+        candidates = materialise(itemsets.local_candidates(rows, SUPPORT, _chunk()))
+        return candidates, materialise(itemsets.count_itemsets(candidates, rows, SUPPORT))
 
     (candidates, frequent), took = files.timed(run)
     return files.document(spark, candidates=itemsets.by_length(candidates), frequent=itemsets.by_length(frequent), runtime=took["time"])

@@ -69,3 +69,13 @@ def test_blended_model_is_the_operators_own(spark, monkeypatch):
     monkeypatch.setattr(recommend, "predict_model", lambda train, test, **how: seen.append(how) or model(train, test, trees=1, depth=1))
     entry.queries()["blended_predictions"](spark, DATA)
     assert seen and seen[0].get("trees", 95) == 95 and seen[0].get("depth", 10) == 10
+
+
+def test_local_candidates_and_document_hold_every_frequent_itemset(spark):
+    import json
+
+    q = entry.queries()
+    frequent = {r.itemset for r in q["frequent_itemsets"](spark, MORE).collect()}
+    assert frequent <= {r.itemset for r in q["local_candidates"](spark, MORE).collect()}
+    document = json.loads(q["itemset_document"](spark, MORE).first()[0])
+    assert {",".join(s) for level in document["frequent"] for s in level["itemsets"]} == frequent
