@@ -325,8 +325,8 @@ def graph_modularity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_divided(spark: SparkSession, d: str) -> DataFrame:
-    """The best partition of the first rounds of divisive communities."""
-    return graph.divide(_edges(spark, d, 7), max_rounds=2)[0]
+    """The partition of best modularity over all rounds of divisive communities."""
+    return graph.divide(_edges(spark, d, 7))[0]
 
 
 def graph_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -79,3 +79,12 @@ def test_local_candidates_and_document_hold_every_frequent_itemset(spark):
     assert frequent <= {r.itemset for r in q["local_candidates"](spark, MORE).collect()}
     document = json.loads(q["itemset_document"](spark, MORE).first()[0])
     assert {",".join(s) for level in document["frequent"] for s in level["itemsets"]} == frequent
+
+
+def test_graph_divided_runs_all_rounds(spark, monkeypatch):
+    from siftmill.operators import graph
+
+    seen, divide = [], graph.divide
+    monkeypatch.setattr(graph, "divide", lambda edges, **how: seen.append(how) or divide(edges, max_rounds=0))
+    entry.queries()["graph_divided"](spark, DATA)
+    assert seen and seen[0].get("max_rounds") is None
