@@ -66,6 +66,8 @@ def test_packed_values(spark):
         '["The \\"Slow\\" Kitchen", "Men\'s Tailors"]': ['The "Slow" Kitchen', "Men's Tailors"],
         "“Sauna; Steam” , Spas: Day, Home & Garden, Arts + Crafts, Bed and Breakfast": ["Sauna; Steam", "Spas: Day", "Home & Garden", "Arts + Crafts", "Bed and Breakfast"],
         "Bars\t\tFood\nBars, , ;Bars /  / Tea": ["Bars", "Food", "Bars", "Bars", "Tea"],
+        '"Sauna; Steam"\t  "Pots, Pans"\n  Food \t "Cut / Style" / “Bed | Breakfast”\r\n': ["Sauna; Steam", "Pots, Pans", "Food", "Cut / Style", "Bed | Breakfast"],
+        '"Bars"/Food, "a"b, "Bars" /Food': ['"Bars"/Food', '"a"b', '"Bars" /Food'],
         'Vinyl 12", Bars, "open': ['Vinyl 12"', "Bars", '"open'],
         '"""Quoted""", ""': ['"Quoted"'],
         " ; ": [], "": [], "[]": [],
