@@ -1,4 +1,8 @@
-"""Languages of documents and of their segments: Bayesian fusion of text, label and host evidence."""
+"""Languages of documents and of their segments: Bayesian fusion of text, label and host evidence.
+
+Python works on blocks of many texts at once: code points in one array, words coded by hash, each distinct word scored
+once, sentences summed by ``numpy.add.reduceat``, and switches of language searched in all sentences side by side.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.session import materialise, small
+from siftmill.session import discard, materialise, small
 
 # The languages' codes and the ways a label may name them.
 NAMES = {
@@ -31,22 +36,28 @@ NAMES = {
 SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "pt": "pt", "br": "pt", "fr": "fr", "de": "de", "at": "de", "it": "it", "nl": "nl", "ru": "ru", "jp": "ja"}
 #: Longest character n-gram, weight of whole words against n-grams, least likelihood ratio that one word can give.
 ORDER, WORD_SHARE, WORD_FLOOR = 4, 0.5, -7.0
-#: Cost in nats of a change of language inside a sentence, and of a sentence that differs from its document.
+#: Cost in nats of a change of language inside a sentence, and of a sentence that differs from its document (under
+#: equal priors of the other languages).
 SWITCH, STRAY = 12.0, 5.0
-#: A stray piece of so few words is taken for a name (scripts without blanks aside).
+#: Sentences of so many words or fewer aren't searched for a change of language: two changes can't pay.
+SPLIT_WORDS = 5
+#: A stray piece of so few words inside a sentence is taken for a name (scripts without blanks aside).
 NAME_WORDS = 3
-#: Words kept with their likelihoods per task before the store is emptied.
-CACHE = 200_000
+#: Above so many words, a sentence counts once for each capital letter on a word that begins sentences: it lost its stops.
+GLUED_WORDS = 9
+#: Words kept with their likelihoods per process before the store is emptied; characters of one block.
+CACHE, BLOCK = 200_000, 1 << 20
 #: Strength of the document's own source over all documents, and of a host over its source, in documents.
 SOURCE_WEIGHT, HOST_WEIGHT = 20.0, 10.0
 #: Effective share of a text's log-likelihood: its words aren't independent.
 TEMPER = 0.25
+#: Least prior of a stray sentence's language, and steps of a stored score in a nat.
+LEAST_PRIOR, STEPS = 1e-3, 16
 
 _KANA = "\u3040-\u30ff\u3400-\u9fff々〆"
 # A word; scripts written without blanks are taken three characters at a time.
 _WORD = re.compile(rf"[{_KANA}]{{1,3}}|[^\W\d_{_KANA}]+(?:['’][^\W\d_{_KANA}]+)*")
-_BREAK = re.compile(r"(?:[.!?…]+(?=\s|[\"»”’)<]|$|[^\W\d_a-zà-ÿа-яё])|[。！？]+|\n+)[\"»”’)]*")
-_TAG = re.compile(r"<[^>]*>")
+_LETTER, _WIDE, _MARK, _VOICED, _APOSTROPHE, _STOP, _WIDE_STOP, _LINE, _CLOSER, _AFTER, _UPPER, _LOWER = (1 << i for i in range(12))
 
 
 def label_language(label: Column | str) -> Column:
@@ -70,6 +81,69 @@ def _bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
 
+def _flags(c: str) -> int:
+    """What a character can be in a text, as bits."""
+    kind, wide = unicodedata.category(c), re.match(f"[{_KANA}]", c) is not None
+    letter = c.isalnum() and kind != "Nd"
+    plain = "a" <= c <= "z" or "à" <= c <= "ÿ" or "а" <= c <= "я" or c == "ё"
+    closer = c in "\"»”’)"
+    return (
+        (_LETTER if letter and not wide else 0) | (_WIDE if wide else 0) | (_MARK if kind == "Mn" and not wide and not "\ufe00" <= c <= "\ufe0f" else 0)
+        | (_VOICED if c in "\u3099\u309a" else 0) | (_APOSTROPHE if c in "'’" else 0) | (_STOP if c in ".!?…" else 0) | (_WIDE_STOP if c in "。！？" else 0)
+        | (_LINE if c == "\n" else 0) | (_CLOSER if closer else 0) | (_AFTER if c.isspace() or closer or c == "<" or letter and not plain else 0)
+        | (_UPPER if c.isupper() else 0) | (_LOWER if c.islower() else 0)
+    )
+
+
+class _Characters:
+    """Flags and lower case of code points: the basic plane as a table, others as they come."""
+
+    def __init__(self) -> None:
+        basic = [chr(i) for i in range(1 << 16)]
+        self.flags = np.array([_flags(c) for c in basic], np.int16)
+        self.lower = np.array([ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(basic)], np.uint32)
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        high = codes > 0xFFFF
+        if not high.any():
+            return self.flags[codes], self.lower[codes]
+        basic = np.where(high, 0, codes)
+        flags, lower = self.flags[basic], self.lower[basic]
+        unique, at = np.unique(codes[high], return_inverse=True)
+        flags[high] = np.array([_flags(chr(c)) for c in unique], np.int16)[at]
+        lower[high] = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in unique], np.uint32)[at]
+        return flags, lower
+
+
+def _starts(flag: np.ndarray) -> np.ndarray:
+    """Where runs of a flag begin, as a flag."""
+    out = flag.copy()
+    out[1:] &= ~flag[:-1]
+    return out
+
+
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between offsets; 0 where two offsets are equal."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype)
+    there = offsets[1:] > offsets[:-1]
+    if there.any():
+        out[there] = np.add.reduceat(values, offsets[:-1][there], axis=0)
+    return out
+
+
+def _without_tags(text: str) -> str:
+    """Every tag, from a < to the next >, becomes line ends of the same length."""
+    at = text.find("<")
+    if at < 0:
+        return text
+    out, done = [], 0
+    while at >= 0 and (end := text.find(">", at)) >= 0:
+        out += [text[done:at], "\n" * (end + 1 - at)]
+        done = end + 1
+        at = text.find("<", done)
+    return "".join([*out, text[done:]])
+
+
 class TextModel:
     """Word and character n-gram likelihoods of each language, from a bounded sample of labelled sentences."""
 
@@ -93,7 +167,8 @@ class TextModel:
                     grams[i].update(self._grams(w))
         self.words = self._logs(words, 0.1)
         self.grams = [self._logs([Counter({g: c for g, c in x.items() if len(g) == k}) for x in grams], 0.5) for k in range(1, ORDER + 1)]
-        self.known: dict[str, np.ndarray] = {}
+        self.characters = _Characters()
+        self._forget()
 
     @staticmethod
     def _grams(word: str) -> Iterator[str]:
@@ -103,116 +178,337 @@ class TextModel:
                 yield padded[at : at + k]
 
     @staticmethod
-    def _logs(counts: list[Counter], extra: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Log-probabilities by key, and those of an unseen key."""
+    def _logs(counts: list[Counter], extra: float) -> tuple[dict[str, int], np.ndarray]:
+        """Numbers by key, and a row of log-probabilities for each number; the last row is that of an unseen key."""
         keys = sorted(set().union(*counts))
         totals = np.array([sum(c.values()) for c in counts], float) + extra * (len(keys) + 1)
-        return {k: np.log((np.array([c[k] for c in counts], float) + extra) / totals) for k in keys}, np.log(extra / totals)
+        rows = np.array([[c[k] for c in counts] for k in keys] + [[0] * len(counts)], float)
+        return {k: i for i, k in enumerate(keys)}, np.log((rows + extra) / totals)
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.scores = np.zeros((1024, len(self.languages)), np.float32)
+        self.begins = np.zeros((1024, len(self.languages)), bool)
 
     def word(self, w: str) -> np.ndarray:
         """Log-likelihood ratios of a lower-cased word to its best language, per language."""
-        found = self.known.get(w)
-        if found is None:
-            padded = f"^{w}$"
-            # The mean over orders of the n-grams' sums, each scaled to the word's own length.
-            total = np.zeros(len(self.languages))
-            for k in range(2, ORDER + 1):
-                logs, unseen = self.grams[k - 1]
-                n = max(1, len(padded) - k + 1)
-                total += sum((logs.get(padded[a : a + k], unseen) for a in range(n)), np.zeros(len(self.languages)))
-            total /= ORDER - 1
-            logs, _ = self.words
-            seen = logs.get(w)
-            if seen is not None:
-                total = (1 - WORD_SHARE) * total + WORD_SHARE * 2 * seen
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = self.known[w] = np.maximum(total - total.max(), WORD_FLOOR)
-        return found
-
-    def _runs(self, scores: np.ndarray) -> list[tuple[int, int, int]]:
-        """The best split of a sentence's words into runs of one language: (first, last + 1, language)."""
-        back, best = [], scores[0].copy()
-        for row in scores[1:]:
-            top = int(best.argmax())
-            stay = best >= best[top] - SWITCH
-            back.append(np.where(stay, np.arange(len(best)), top))
-            best = np.where(stay, best, best[top] - SWITCH) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        path.reverse()
-        cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
-        return [(a, z, path[a]) for a, z in zip(cuts, cuts[1:])]
-
-    def sentences(self, text: str) -> list[tuple[int, int, np.ndarray, int, int]]:
-        """Pieces of a text that hold words: (first character, end, scores, words, sentences), in order.
-
-        A piece is a sentence, or a run of one language in a sentence (or in several that lost their stops; their
-        number is then told from capital letters on words that begin sentences).
+        padded = f"^{w}$"
+        # The mean over orders of the n-grams' sums, each scaled to the word's own length.
+        total = np.zeros(len(self.languages))
+        for k in range(2, ORDER + 1):
+            number, logs = self.grams[k - 1]
+            unseen = len(logs) - 1
+            total += logs[[number.get(padded[a : a + k], unseen) for a in range(max(1, len(padded) - k + 1))]].sum(0)
+        total /= ORDER - 1
+        number, logs = self.words
+        if w in number:
+            total = (1 - WORD_SHARE) * total + WORD_SHARE * 2 * logs[number[w]]
+        return np.maximum(total - total.max(), WORD_FLOOR)
+
+    def _code(self, hashes: np.ndarray, first: np.ndarray, end: np.ndarray, text: str) -> np.ndarray:
+        """Rows of the words' scores; new words, known by their place in ``text``, are scored once."""
+        if len(self.known) > CACHE:
+            self._forget()
+        unique, place, at = np.unique(hashes, return_index=True, return_inverse=True)
+        rows = np.empty(len(unique), np.int64)
+        for i, h in enumerate(unique.tolist()):
+            row = self.known.get(h)
+            if row is None:
+                row = self.known[h] = len(self.known)
+                if row == len(self.scores):
+                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                    self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+                w = unicodedata.normalize("NFC", text[first[place[i]] : end[place[i]]]).lower()
+                self.scores[row] = self.word(w)
+                self.begins[row] = [w in s for s in self.starters]
+            rows[i] = row
+        return rows[at]
+
+    @staticmethod
+    def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character and end of every word."""
+        letter, wide = (flags & _LETTER) > 0, (flags & _WIDE) > 0
+        like = letter | ((flags & _MARK) > 0)  # a mark goes with the letters before it
+        runs = np.cumsum(_starts(like)) - 1
+        before = np.cumsum(letter) - letter
+        like &= letter | (before > before[np.flatnonzero(_starts(like))][np.maximum(runs, 0)] if like.any() else False)
+        join = ((flags & _APOSTROPHE) > 0)
+        join[0] = join[-1] = False
+        join[1:-1] &= like[:-2] & letter[2:]
+        like |= join
+        base = wide & ~((flags & _VOICED) > 0)
+        start = _starts(like) | _starts(wide)
+        if wide.any():
+            count = np.cumsum(base) - base
+            run = np.cumsum(_starts(wide)) - 1
+            start |= base & ((count - count[np.flatnonzero(_starts(wide))][np.maximum(run, 0)]) % 3 == 0)
+        inside = like | wide
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | start[1:]
+        return np.flatnonzero(start), np.flatnonzero(last) + 1
+
+    @staticmethod
+    def _stops(flags: np.ndarray) -> np.ndarray:
+        """Ends of sentences: behind stops, wide stops and line ends, and the quotes or brackets that close there."""
+        n = len(flags)
+        following = np.append(flags[1:], np.int16(_AFTER))
+        stop = ((flags & _STOP) > 0) & ((following & (_STOP | _AFTER)) == _AFTER)
+        for kind in (_WIDE_STOP, _LINE):
+            stop |= ((flags & kind) > 0) & ((following & kind) == 0)
+        ends = np.flatnonzero(stop) + 1
+        other = np.append(np.flatnonzero((flags & _CLOSER) == 0), n)
+        return np.unique(other[np.searchsorted(other, ends)])
+
+    def _paths(self, scores: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The best languages of all words of sentences, each given by its first row and size, with a cost per change."""
+        order = np.argsort(-size, kind="stable")
+        first, size = first[order], size[order]
+        active = np.searchsorted(-size, -np.arange(size[0]) - 1, "right")  # sentences of more than t words
+        best, back = scores[first].astype(np.float32), []
+        every = np.arange(scores.shape[1], dtype=np.int8)
+        for t in range(1, size[0]):
+            b = best[: active[t]]
+            top = b.argmax(1)
+            leap = (b[np.arange(len(b)), top] - SWITCH)[:, None]
+            stay = b >= leap
+            back.append(np.where(stay, every, top[:, None].astype(np.int8)))
+            best[: active[t]] = np.where(stay, b, leap) + scores[first[: active[t]] + t]
+        here, path = best.argmax(1), np.zeros(len(scores), np.int8)
+        for t in range(size[0] - 1, -1, -1):
+            n = active[t]
+            path[first[:n] + t] = here[:n]
+            if t:
+                here[:n] = back[t - 1][np.arange(n), here[:n]]
+        return path
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Pieces of several texts that hold words: (text, begin, end, words, sentences, whole, scores), in order.
+
+        A piece is a sentence, or a run of one language in a sentence (or in several that lost their stops).
+        ``whole`` says that it is all of its sentence.
         """
-        text = _TAG.sub(lambda m: "\n" * len(m.group()), text)
-        pieces, at = [], 0
-        for stop in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
-            part = text[at:stop]
-            spans = list(_WORD.finditer(part))
-            if spans:
-                raw = [unicodedata.normalize("NFC", m.group()) for m in spans]
-                scores = np.array([self.word(w.lower()) for w in raw])
-                total = scores.sum(0)
-                runs = [(0, len(raw), int(total.argmax()))]
-                if len(raw) > 5 and total.max() < -SWITCH:
-                    runs = self._runs(scores)
-                for n, (a, z, lang) in enumerate(runs):
-                    begin = at if n == 0 else at + spans[a].start()
-                    end = stop if n == len(runs) - 1 else at + spans[z].start()
-                    starts = sum(1 for w in raw[a:z] if w[0].isupper() and not w.isupper() and w.lower() in self.starters[lang]) if z - a > 9 and len(self.starters[lang]) else 1
-                    pieces.append((begin, end, scores[a:z].sum(0), z - a, max(1, starts)))
-            at = stop
-        return pieces
+        texts = [_without_tags(t) for t in texts]
+        text = "\n".join([*texts, ""])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        flags, lower = self.characters.of(codes)
+        first, end = self._spans(flags)
+        if not len(first):
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, none, none.astype(bool), np.zeros((0, len(self.languages)), np.float32)
+        n_words = len(first)
+        # Polynomial hashes of the lower-cased words, modulo 2 ** 64.
+        size = end - first
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        power = np.cumprod(np.append(np.uint64(1), np.full(size.max() - 1, 0x9E3779B97F4A7C15, np.uint64)))
+        letters = np.repeat(first, size) + inside
+        hashes = np.add.reduceat((lower[letters].astype(np.uint64) + np.uint64(1)) * power[inside], np.cumsum(size) - size)
+        rows = self._code(hashes, first, end, text)
+        scores = self.scores[rows]
+
+        stops = self._stops(flags)
+        sentence = np.searchsorted(stops, first, "right")
+        new = np.append(True, sentence[1:] != sentence[:-1])
+        at = np.flatnonzero(new)
+        length = np.diff(np.append(at, n_words))
+        searched = (length > SPLIT_WORDS) & (np.add.reduceat(scores, at, axis=0).max(1) < -SWITCH)
+        if searched.any():
+            path = self._paths(scores, at[searched], length[searched])
+            new[1:] |= path[1:] != path[:-1]  # a path is 0 outside the sentences searched, whose first words are new anyway
+            inner = np.repeat(searched, length)
+            new &= inner | np.append(True, sentence[1:] != sentence[:-1])
+        at = np.flatnonzero(new)
+        words = np.diff(np.append(at, n_words))
+        total = np.add.reduceat(scores, at, axis=0)
+
+        part = sentence[at]
+        opens, closes = np.append(True, part[1:] != part[:-1]), np.append(part[1:] != part[:-1], True)
+        edges = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+        doc = np.searchsorted(edges, first[at], "right") - 1
+        begin = np.where(opens, np.maximum(np.append(0, stops)[part], edges[doc]), first[at])
+        finish = np.where(closes, np.minimum(np.append(stops, len(text))[part], edges[doc + 1] - 1), np.append(first[at][1:], 0))
+
+        sentences = np.ones(len(at), np.int64)
+        if (words > GLUED_WORDS).any():
+            capital = ((flags[first] & _UPPER) > 0) & (np.add.reduceat(((flags[letters] & _LOWER) > 0).astype(np.int32), np.cumsum(size) - size) > 0)
+            counted = capital & self.begins[rows, np.repeat(total.argmax(1), words)]
+            sentences = np.where(words > GLUED_WORDS, np.maximum(1, np.add.reduceat(counted.astype(np.int64), at)), 1)
+        return doc, begin - edges[doc], finish - edges[doc], words, sentences, opens & closes, total
+
+    def pieces(self, texts: Sequence[str | None]) -> tuple[np.ndarray, ...]:
+        """As ``_block``, for any number of texts of any length; a text above ``BLOCK`` is cut behind a sentence."""
+        parts: list[tuple[int, int, str]] = []
+        for i, t in enumerate(texts):
+            at = 0
+            while t and len(t) - at > BLOCK:
+                # A cut behind the last line end or stop with a blank in the block, else before the next one.
+                places = [p for mark in ("\n", ". ", "! ", "? ", "。") if (p := t.rfind(mark, at, at + BLOCK)) >= 0] or [p for mark in ("\n", ". ", "! ", "? ", "。") if (p := t.find(mark, at + BLOCK)) >= 0][:1]
+                if not places:
+                    break
+                parts.append((i, at, t[at : max(places) + 1]))
+                at = max(places) + 1
+            if t:
+                parts.append((i, at, t[at:] if at else t))
+        blocks, held, room = [], [], 0
+        for p in [*parts, None]:
+            if held and (p is None or room + len(p[2]) > BLOCK):
+                doc, begin, end, *rest = self._block([x for _, _, x in held])
+                text, offset = np.array([i for i, _, _ in held]), np.array([a for _, a, _ in held])
+                blocks.append((text[doc], begin + offset[doc], end + offset[doc], *rest))
+                held, room = [], 0
+            if p is not None:
+                held.append(p)
+                room += len(p[2]) + 1
+        return tuple(np.concatenate(c) for c in zip(*blocks)) if blocks else self._block([""])
 
     def document(self, text: str) -> tuple[np.ndarray, list[tuple[int, int, int, int, float]]]:
-        """Scores of the whole text and its segments: (first character, end, language, sentences, confidence)."""
-        pieces = self.sentences(text)
-        total = sum((p[2] for p in pieces), np.zeros(len(self.languages)))
-        # The main language is the one that most words are in, by the best language of each piece.
-        weight = np.zeros(len(self.languages))
-        for _, _, s, n, _ in pieces:
-            weight[int(s.argmax())] += n
-        main = int((weight + 1e-3 * (total - total.max()) / max(1.0, -float(total.min()) + 1)).argmax()) if pieces else 0
-        found: list[list] = []
-        for begin, end, scores, words, n in pieces:
-            lang = int(scores.argmax())
-            if scores[main] > scores[lang] - STRAY or words <= NAME_WORDS and self.languages[lang] != "ja":
-                lang = main
-            p = np.exp(TEMPER * (scores - scores.max()))
-            sure = float(p[lang] / p.sum())
-            if found and found[-1][2] == lang:
-                last = found[-1]
-                last[1], last[3], last[4] = end, last[3] + n, last[4] + sure * n
-            else:
-                found.append([begin, end, lang, n, sure * n])
-        for f, later in zip(found, found[1:]):
-            f[1] = later[0]
-        return total, [(a, z, lang, n, sure / n) for a, z, lang, n, sure in found]
+        """Scores of a text and its segments under equal priors: (first character, end, language, sentences, confidence)."""
+        doc, begin, end, words, sentences, whole, scores = self.pieces([text])
+        n = len(self.languages)
+        offsets = np.array([0, len(doc)])
+        found = decide(offsets, begin, end, words, sentences, whole, scores.astype(float), np.zeros((1, n)), self.languages)
+        return scores.sum(0), list(zip(*(found[c].tolist() for c in ("begin", "end", "lang", "sentences", "confidence"))))
+
+
+def robust(scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Scores of whole documents in which any piece may be a stray of another language, at its cost."""
+    return _sums(np.maximum(scores, scores.max(1, keepdims=True) - STRAY) if len(scores) else scores, offsets)
+
+
+def _shares(logs: np.ndarray) -> np.ndarray:
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def decide(offsets: np.ndarray, begin: np.ndarray, end: np.ndarray, words: np.ndarray, sentences: np.ndarray, whole: np.ndarray, scores: np.ndarray, priors: np.ndarray, languages: Sequence[str]) -> dict[str, np.ndarray]:
+    """Segments and languages of documents from their pieces' scores and the documents' log-priors.
+
+    The main language has the highest posterior, any piece being free to be a stray. A piece's language has the
+    highest posterior given the main one: a stray pays ``STRAY``, less if the document's priors (of label, markup,
+    address, host) speak for its language, more if they speak against it. A document whose pieces agree takes the
+    language of highest posterior of the whole; so do its pieces.
+    """
+    n, k = priors.shape
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    main = (TEMPER * robust(scores, offsets) + priors).argmax(1)
+    others = priors.copy()
+    others[np.arange(n), main] = -np.inf
+    with np.errstate(divide="ignore"):
+        cost = STRAY - np.log(np.maximum(_shares(others), LEAST_PRIOR) * max(1, k - 1))
+    cost[np.arange(n), main] = 0
+    fused = scores - cost[doc]
+    lang = fused.argmax(1) if len(fused) else np.zeros(0, np.int64)
+    short = ~whole & (words <= NAME_WORDS) & (lang != (languages.index("ja") if "ja" in languages else -1))
+    lang = np.where(short, main[doc], lang)
+    sure = _shares(TEMPER * fused)[np.arange(len(lang)), lang] if len(lang) else np.zeros(0)
+
+    counts, room = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+    np.add.at(counts, (doc, lang), sentences)
+    np.add.at(room, (doc, lang), end - begin)
+    kinds = (counts > 0).sum(1)
+    whole_post = TEMPER * _sums(scores, offsets) + priors
+    best = whole_post.argmax(1)
+    alone = kinds == 1
+    top = np.where(alone, best, (counts * (1 << 40) + room).argmax(1))
+    if alone.any():
+        lang = np.where(alone[doc], best[doc], lang)
+        sure = np.where(alone[doc], _shares(whole_post).max(1)[doc], sure)
+        one = np.flatnonzero(alone)
+        counts[one] = counts[one].sum(1, keepdims=True) * (np.arange(k) == best[one][:, None])
+    many = counts >= 2
+    single = many.sum(1) < 2
+    chosen = np.where(many.any(1), many.argmax(1), top)
+    listed = np.where(single[:, None], (np.arange(k) == chosen[:, None]) & (kinds > 0)[:, None], many)
+    counts = np.where(single[:, None], counts.sum(1, keepdims=True), counts)
+    own = (lang == top[doc]) * sentences
+    mean = _sums(own * sure, offsets) / np.maximum(1, _sums(own, offsets))
+
+    new = np.append(True, (doc[1:] != doc[:-1]) | (lang[1:] != lang[:-1])) if len(doc) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    edge = np.append(at, len(doc))
+    owner = doc[at]
+    n_sentences = _sums(sentences, edge)
+    ends = end[edge[1:] - 1] if len(at) else end[:0]
+    ends = np.where(np.append(owner[1:] == owner[:-1], False), np.append(begin[at][1:], 0), ends) if len(at) else ends
+    return {
+        "begin": begin[at], "end": ends, "lang": lang[at], "sentences": n_sentences, "confidence": _sums(sentences * sure, edge) / np.maximum(1, n_sentences),
+        "segments": np.append(0, np.cumsum(np.bincount(owner, minlength=n))), "top": top, "there": kinds > 0, "mean": mean, "listed": listed, "counts": counts,
+    }
 
 
 #: Columns of a scored document that name a language.
 EVIDENCE = ("label_lang", "markup", "address")
-SCORED = "scores array<double>, segments array<struct<begin:int,end:int,lang:string,sentences:int,confidence:double>>"
+SCORED = "main string, begins array<int>, ends array<int>, words array<int>, sentences array<int>, wholes array<boolean>, scores array<smallint>"
+DECIDED = "label_lang string, lang string, confidence double, langs array<struct<lang:string,sentences:int>>, segments array<struct<begin:int,end:int,lang:string,sentences:int,confidence:double>>"
+
+_models: dict[int, TextModel] = {}
+
+
+def _model(sample: list[tuple[str, str]], languages: list[str]) -> TextModel:
+    """The model of a sample, learnt once per process."""
+    key = hash((tuple(sample), tuple(languages)))
+    if key not in _models:
+        _models.clear()
+        _models[key] = TextModel(sample, languages)
+    return _models[key]
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
 def _score(sample: list[tuple[str, str]], languages: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = TextModel(sample, languages)
-        segment = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("sentences", pa.int32()), ("confidence", pa.float64())])
+        model, names = _model(sample, languages), np.array(languages, object)
         for batch in batches:
-            scores, segments = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                total, found = model.document(text or "")
-                scores.append(total)
-                segments.append([{"begin": a, "end": z, "lang": languages[l], "sentences": n, "confidence": c} for a, z, l, n, c in found])
-            yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.list_(pa.float64())), pa.array(segments, pa.list_(segment))], names=[*batch.schema.names[:-1], "scores", "segments"])
+            n = batch.num_rows
+            doc, begin, end, words, sentences, whole, scores = model.pieces(batch.column(batch.num_columns - 1).to_pylist())
+            offsets = np.append(0, np.cumsum(np.bincount(doc, minlength=n)))
+            main = pa.array(names[robust(scores.astype(float), offsets).argmax(1)], pa.string(), mask=offsets[1:] == offsets[:-1])
+            steps = np.clip(np.rint(scores * STEPS), -(1 << 15), 0).astype(np.int16)
+            found = [_lists(offsets, pa.array(x.astype(np.int32))) for x in (begin, end, words, sentences)]
+            yield pa.record_batch([*batch.columns[:-1], main, *found, _lists(offsets, pa.array(whole)), _lists(offsets * len(languages), pa.array(steps.ravel()))], names=[*batch.schema.names[:-1], "main", "begins", "ends", "words", "sentences", "wholes", "scores"])
+
+    return run
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _decide(languages: list[str], right: dict[str, float]):
+    """Fuses the scores of a batch of documents with their evidence and priors."""
+    k = len(languages)
+    says = {}
+    for c in EVIDENCE:
+        table = np.full((k + 1, k), math.log((1 - right[c]) / max(1, k - 1)))
+        np.fill_diagonal(table, math.log(right[c]))
+        table[k] = 0  # silent
+        says[c] = table
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values = np.array(languages, object), pa.array(languages, pa.string())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            priors = np.log(_flat(column("prior")).reshape(-1, k))
+            for c in EVIDENCE:
+                priors += says[c][pc.fill_null(pc.index_in(column(c), value_set=values), k).to_numpy(zero_copy_only=False)]
+            offsets = column("begins").offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            f = decide(offsets, *(_flat(column(c)) for c in ("begins", "ends", "words", "sentences", "wholes")), _flat(column("scores")).reshape(-1, k) / STEPS, priors, languages)
+            ints = lambda x: pa.array(x.astype(np.int32))
+            # The languages of a document, those of most sentences first.
+            who, which = np.nonzero(f["listed"])
+            order = np.lexsort((which, -f["counts"][who, which], who))
+            who, which = who[order], which[order]
+            langs = pa.StructArray.from_arrays([pa.array(names[which], pa.string()), ints(f["counts"][who, which])], ["lang", "sentences"])
+            segments = pa.StructArray.from_arrays([ints(f["begin"]), ints(f["end"]), pa.array(names[f["lang"]], pa.string()), ints(f["sentences"]), pa.array(f["confidence"])], ["begin", "end", "lang", "sentences", "confidence"])
+            none = ~f["there"]
+            yield pa.record_batch(
+                [column("item"), column("label_lang"), pa.array(names[f["top"]], pa.string(), mask=none), pa.array(f["mean"], mask=none), _lists(np.append(0, np.cumsum(np.bincount(who, minlength=batch.num_rows))), langs), _lists(f["segments"], segments)],
+                names=["item", "label_lang", "lang", "confidence", "langs", "segments"],
+            )
 
     return run
 
@@ -222,14 +518,14 @@ def identify(df: DataFrame, item: str, text: str, label: str, source: str, host:
 
     ``langs`` holds every language with two sentences or more; if there is none such, or only single sentences
     differ, the main language alone. ``segments`` has the stretches of one language (character positions, language,
-    sentences, confidence). ``lang`` is the main language after fusion, ``confidence`` its posterior or, in a mixed
-    document, the mean confidence of its sentences.
+    sentences, confidence). ``lang`` is the language of most sentences, ``confidence`` its posterior or, in a mixed
+    document, the mean posterior of its sentences.
 
     Method: text likelihoods come from words and character n-grams, learnt from at most ``sample_rows`` rows (by
     hash order) of ``sample`` (lang, text); the label, a language declared in the text's markup and the suffix of an
     address in it each give a likelihood from how often they are right; host and source give a prior, smoothed from
     all documents over the source to the host. All of these come from grouped aggregation over all documents. The
-    posterior is the product.
+    posterior is the product, for the document and, given its main language, for each of its pieces (``decide``).
 
     Defined cases: null and empty texts and texts without letters have lang null, no segments, confidence null; null
     source or host forms a group of its own; labels are read by ``label_language``, anything else counts as missing;
@@ -240,9 +536,11 @@ def identify(df: DataFrame, item: str, text: str, label: str, source: str, host:
         sample = sample.orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(sample_rows)
     learnt = [(r.lang, r.text) for r in sample.select("lang", "text").dropna().collect()]
     kind = df.schema[item].dataType.simpleString()
-    rows = df.select(F.col(item).alias("item"), label_language(label).alias("label_lang"), markup_language(text).alias("markup"), address_language(text).alias("address"), F.col(source).cast("string").alias("s"), F.col(host).cast("string").alias("h"), F.col(text).alias("text"))
+    t = F.col(text)
+    # The cheap tests spare most texts the patterns, which can't match without these characters.
+    markup, address = F.when(t.contains("<"), markup_language(t)), F.when(t.contains("://"), address_language(t))
+    rows = df.select(F.col(item).alias("item"), label_language(label).alias("label_lang"), markup.alias("markup"), address.alias("address"), F.col(source).cast("string").alias("s"), F.col(host).cast("string").alias("h"), t.alias("text"))
     scored = materialise(rows.mapInArrow(_score(learnt, languages), f"item {kind}, label_lang string, markup string, address string, s string, h string, {SCORED}"))
-    scored = scored.withColumn("main", F.when(F.size("segments") > 0, F.expr("array_sort(transform(segments, x -> struct(-x.sentences as a, x.begin - x.end as c, x.lang as b)))[0].b")))
 
     # How often labels are right, and how the languages are spread: all documents, source, host in source.
     known = scored.where("main is not null")
@@ -261,27 +559,7 @@ def identify(df: DataFrame, item: str, text: str, label: str, source: str, host:
     of_source = spread(["s"]).select(F.col("s").alias("s1"), smooth(F.col("n"), everywhere, SOURCE_WEIGHT).alias("p"))
     of_host = spread(["s", "h"]).join(small(of_source), F.col("s").eqNullSafe(F.col("s1"))).select(F.col("s").alias("s1"), F.col("h").alias("h1"), smooth(F.col("n"), F.col("p"), HOST_WEIGHT).alias("prior"))
     of_host = materialise(of_host)
+    discard(by_host)
     joined = scored.join(small(of_host), F.col("s").eqNullSafe(F.col("s1")) & F.col("h").eqNullSafe(F.col("h1")), "left")
-    names = F.array(*(F.lit(l) for l in languages))
-    def says(column: str, language: Column) -> Column:
-        wrong = (1 - right[column]) / max(1, len(languages) - 1)
-        return F.when(F.col(column).isNull() | ~F.col(column).isin(languages), 0.0).when(F.col(column) == language, math.log(right[column])).otherwise(math.log(wrong))
-
-    evidence = F.transform(names, lambda l: sum((says(c, l) for c in EVIDENCE[1:]), says(EVIDENCE[0], l)))
-    logs = F.zip_with(F.zip_with(F.transform("scores", lambda x: x * TEMPER), F.transform(F.coalesce("prior", everywhere), lambda p: F.log(p)), lambda x, y: x + y), evidence, lambda x, y: x + y)
-    weights = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
-    fused = joined.withColumn("logs", logs).withColumn("w", weights).withColumn("best", F.element_at(names, F.array_position("logs", F.array_max("logs")).cast("int")))
-    per_lang = F.expr("transform(array_distinct(segments.lang), l -> struct(l as lang, aggregate(filter(segments, x -> x.lang = l), 0, (a, x) -> a + x.sentences) as sentences, aggregate(filter(segments, x -> x.lang = l), 0, (a, x) -> a + x.end - x.begin) as size))")
-    fused = fused.withColumn("all", per_lang).withColumn("many", F.expr("transform(filter(all, x -> x.sentences >= 2), x -> struct(x.lang as lang, x.sentences as sentences))"))
-    words = F.size("segments") > 0
-    # A document in one language takes the fused one; text evidence alone tells which languages a mixed one has.
-    top = F.expr("array_sort(transform(all, x -> struct(-x.sentences as a, -x.size as c, x.lang as b)))[0].b")
-    lang = F.when(words, F.when(F.size("all") == 1, F.col("best")).otherwise(top))
-    own = F.expr("aggregate(filter(segments, x -> x.lang = lang), struct(0D as s, 0 as n), (a, x) -> struct(a.s + x.confidence * x.sentences as s, a.n + x.sentences as n), a -> a.s / a.n)")
-    lone = F.array(F.struct(F.col("lang").alias("lang"), F.expr("cast(aggregate(all, 0, (a, x) -> a + x.sentences) as int)").alias("sentences")))
-    return (
-        fused.withColumn("lang", lang)
-        .withColumn("langs", F.when(~words, F.expr("cast(array() as array<struct<lang:string,sentences:int>>)")).when(F.size("many") > 1, F.col("many")).when((F.size("many") == 1) & (F.size("all") > 1), F.array(F.struct(F.col("many")[0]["lang"].alias("lang"), F.expr("cast(aggregate(all, 0, (a, x) -> a + x.sentences) as int)").alias("sentences")))).otherwise(lone))
-        .withColumn("confidence", F.when(F.size("all") == 1, F.array_max("w") / F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).when(words, own))
-        .select(F.col("item").alias(item), "label_lang", "lang", "confidence", "langs", "segments")
-    )
+    fused = joined.select("item", *EVIDENCE, F.coalesce("prior", everywhere).alias("prior"), "begins", "ends", "words", "sentences", "wholes", "scores")
+    return fused.mapInArrow(_decide(languages, right), f"item {kind}, {DECIDED}").withColumnRenamed("item", item)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from siftmill.llm import terms
+from siftmill.llm import langid
 from siftmill.llm.langid import NAMES, TextModel, address_language, identify, label_language, markup_language
 from siftmill.llm.mixing import Target, largest_total, mix, route, share_report, source_name
 from siftmill.llm.packing import fill_report, pack, plan_containers
@@ -213,6 +214,61 @@ def test_declared_languages(spark):
     assert [tuple(r) for r in df.select(markup_language("t"), address_language("t")).collect()] == [("pt", None), ("de", None), (None, "fr"), (None, None), (None, None), (None, None), (None, None)]
 
 
+def test_words_and_sentences_of_blocks_are_those_of_the_patterns():
+    model = TextModel(SAMPLE, list(NAMES))
+    rng = random.Random(8)
+    stop = re.compile(r"(?:[.!?…]+(?=\s|[\"»”’)<]|$|[^\W\d_a-zà-ÿа-яё])|[。！？]+|\n+)[\"»”’)]*")
+    alphabet = ["a", "B", "é", "ñ", "я", "Ж", "日", "本", "ア", "。", ".", "!", "…", "\n", " ", "'", "’", '"', ")", "7", "_", "𝒜", "𠮷", "⭐", "\ufe0f", "-", "don't", "St.Gallen"]
+    for _ in range(300):
+        text = "".join(rng.choices(alphabet, k=rng.randint(1, 40))) + "\n"
+        import numpy as np
+
+        flags, _ = model.characters.of(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        assert list(zip(*(x.tolist() for x in model._spans(flags)))) == [m.span() for m in langid._WORD.finditer(text)], repr(text)
+        assert model._stops(flags).tolist() == [m.end() for m in stop.finditer(text)], repr(text)
+
+
+def test_marks_tags_and_long_texts(monkeypatch):
+    model = TextModel(SAMPLE, list(NAMES))
+    assert langid._without_tags("a<b>c<d") == "a\n\n\nc<d" and langid._without_tags("<" * 5) == "<" * 5
+    assert len(model.pieces(["<" * 200_000 + "We waited an hour."])[0]) == 1  # no tag without its end, and no search from every <
+    import unicodedata
+
+    es = "No volvería allí otra vez con mis amigos."
+    one, other = (model.pieces([unicodedata.normalize(f, es)]) for f in ("NFC", "NFD"))
+    assert one[3].tolist() == other[3].tolist() and abs(one[6] - other[6]).max() < 1e-4
+    texts = [" ".join(t for _, t in SAMPLE) * 30, None, "", "z" * 5_000, "".join(t for l, t in SAMPLE if l == "ja") * 40]
+    whole = [x.tolist() for x in model.pieces(texts)]
+    for block in (200, 3_000):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        cut = [x.tolist() for x in model.pieces(texts)]
+        assert cut[0] == whole[0] and cut[3:6] == whole[3:6] and cut[2] == whole[2]
+    assert model.pieces([])[0].tolist() == model.pieces([None, ""])[0].tolist() == []
+
+
+def test_short_sentences_and_evidence_decide_strays():
+    import numpy as np
+
+    languages = ["en", "es", "de"]
+
+    def run(scores, words, whole, priors):
+        n, at = len(scores), np.arange(len(scores)) * 10
+        return langid.decide(np.array([0, n]), at, at + 10, np.array(words), np.ones(n, int), np.array(whole), np.array(scores, float), np.log(np.array([priors])), languages)
+
+    en, es, weak = [0, -40, -40], [-20, 0, -30], [-4.5, 0, -9]
+    equal = [0.4, 0.3, 0.3]
+    # Sentences of three words count; inside a sentence three words are a name.
+    got = run([en, es, es, en, en], [9, 3, 3, 9, 9], [True] * 5, equal)
+    assert got["lang"].tolist() == [0, 1, 0] and got["listed"].tolist() == [[True, True, False]] and got["counts"].tolist() == [[3, 2, 0]]
+    assert run([en, es, es, en, en], [9, 3, 3, 9, 9], [True, False, False, True, True], equal)["lang"].tolist() == [0]
+    # One stray sentence doesn't add a language. A weak one is a stray only if the document's evidence speaks for it.
+    assert run([en, es, en], [9, 9, 9], [True] * 3, equal)["listed"].tolist() == [[True, False, False]]
+    assert run([en, weak], [9, 9], [True] * 2, [0.8, 0.1, 0.1])["lang"].tolist() == [0]
+    assert run([en, weak], [9, 9], [True] * 2, [0.8, 0.198, 0.002])["lang"].tolist() == [0, 1]
+    # A short text in one language is decided by all the evidence, and so are its segments.
+    assert run([weak], [2], [True], [0.98, 0.01, 0.01])["lang"].tolist() == [0] and run([weak], [2], [True], equal)["lang"].tolist() == [1]
+
+
 def test_held_out_accuracy():
     pq = pytest.importorskip("pyarrow.parquet")
     try:
