@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftmill.llm import terms
 from siftmill.llm import langid
@@ -64,6 +65,45 @@ def test_burst_trie_and_routes():
     assert trie.terms == len(set(words)) and all(len(node) <= 2 for _, node in trie.containers())
 
 
+def test_routes_share_out_any_vocabulary(spark):
+    """5,000 first characters with 40 terms each, one deep prefix with many: no range has more than a share."""
+    words = [chr(0x4E00 + i) + f"x{j}" for i in range(5_000) for j in range(40)] + ["deep/prefix/" + f"{j:05d}" for j in range(20_000)] + ["a", "ab", "", "deep"]
+    rows = [(w[:1], [w[1:]], [1], [1]) for w in words]
+    df = spark.createDataFrame(rows, terms.SUBTREE)
+    bounds, numbers = terms._routes(df, 64, 50)
+    share = len(words) // 64
+    from bisect import bisect_right
+
+    weight = Counter(numbers[bisect_right(bounds, w) - 1] for w in words)
+    assert max(weight.values()) <= share and len(bounds) < 3 * 64 and sorted(numbers) == list(range(len(bounds)))
+    assert [weight[i] for i in range(len(bounds))] == sorted((weight[i] for i in range(len(bounds))), reverse=True)
+    batch = terms.pa.record_batch([terms.pa.array(c, t) for c, t in zip(zip(("", sorted(words), [1] * len(words), [1] * len(words))), terms._SUBTREE.types)], schema=terms._SUBTREE)
+    parts = [r for b in terms._splitter(bounds, numbers)([batch]) for r in b.to_pylist()]
+    assert {r["route"]: len(r["suffixes"]) for r in parts} == dict(weight)
+    assert terms.pack_ranges([], 10) == ([""], [0])
+
+
+@pytest.mark.parametrize("wide", [2, 64])
+def test_terms_of_records_with_differing_texts(spark, monkeypatch, wide):
+    monkeypatch.setattr(terms, "WIDE", wide)
+    rng = random.Random(wide)
+    rows = [(f"r{rng.randint(0, 40)}", " ".join(rng.choices("a b c d e ff gg hh".split(), k=rng.randint(0, 6)))) for _ in range(300)]
+    rows += [("hot", f"w{i} a") for i in range(90)] + [(None, "a a")]
+    df = spark.createDataFrame(rows, "rid string, text string").repartition(4)
+    got = {r.term: (r.occurrences, r.records) for r in terms.term_statistics(df, "rid", "text").collect()}
+    assert got == brute_terms(rows)[0]
+
+
+def test_filter_misses_no_key(spark):
+    import numpy as np
+
+    keys = spark.range(30_000).select(F.xxhash64("id").alias("h"))
+    held = terms.Filter.of(keys, 30_000)
+    inside = np.array([r.h for r in keys.collect()])
+    other = np.array([r.h for r in spark.range(10**6, 10**6 + 50_000).select(F.xxhash64("id").alias("h")).collect()])
+    assert held.holds(inside).all() and held.holds(other).mean() < 0.02
+
+
 def test_plan_fills_containers():
     rng = random.Random(4)
     tiers = [("s", 50), ("m", 100), ("l", 200)]
