@@ -167,6 +167,20 @@ def test_token_counts(spark):
     assert got == [count_tokens(t) if t else 0 for t in texts] and got[2] == 2 and got[0] == got[1] == 0
 
 
+def test_long_texts_are_cut_where_their_tokens_end(monkeypatch):
+    from siftmill.llm import tokens
+
+    rng = random.Random(13)
+    alphabet = ["a", "Z", "é", "日本", "7", "１", "²", " ", "  ", "\n", "'s", "'", "!'", "...", "⭐", "don't", "e\u0301", "_", "x1y"]
+    for _ in range(400):
+        text = "".join(rng.choices(alphabet, k=60))
+        whole = tokens.count_tokens(text)
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "PART", rng.randint(1, 12))
+            assert "".join(tokens._parts(text)) == text and tokens.count_tokens(text) == whole, repr(text)
+    assert tokens.PATTERN == __import__("public_tokenizers").PATTERN
+
+
 def test_largest_total_and_route():
     targets = [Target("a", 0.5, 1), Target("b", 0.3, 2), Target("c", 0.2, 3)]
     weights = {1: 300, 2: 100, 4: 50, 3: 200, 6: 40}
@@ -186,6 +200,58 @@ def test_largest_total_and_route():
     assert any(bigger[i] < int(total * 1.1) * t.share - 1 for i, t in enumerate(targets))
 
 
+def test_largest_total_against_all_subsets():
+    """By the cut condition the bound is the least ratio, over sets of sources, of what they can draw to their share."""
+    rng = random.Random(11)
+    for _ in range(150):
+        n = rng.randint(1, 5)
+        cuts = [rng.random() for _ in range(n)]
+        targets = [Target(f"s{i}", c / sum(cuts), rng.randint(0, 4)) for i, c in enumerate(cuts)]
+        weights = {rng.randrange(1, 1 << n): rng.randint(0, 5_000) for _ in range(rng.randint(1, 8))}
+        want = min(
+            sum(w * max((t.max_repeat for i, t in enumerate(targets) if m & s & (1 << i)), default=0) for m, w in weights.items()) / sum(t.share for i, t in enumerate(targets) if s >> i & 1)
+            for s in range(1, 1 << n)
+        )
+        assert abs(largest_total(weights, targets) - want) <= n + 1
+    many = [Target(f"s{i:02}", 1 / 40, 3) for i in range(40)]
+    assert abs(largest_total({1 << i | 1 << (i + 1) % 40: 1000 for i in range(40)}, many) - 120_000) <= 41
+
+
+def test_flow_is_cheapest():
+    from siftmill.llm.mixing import _Flow
+
+    rng = random.Random(12)
+    for _ in range(60):
+        n, arcs = 6, []
+        for _ in range(14):
+            a, b = rng.sample(range(n), 2)
+            arcs.append((a, b, rng.randint(1, 4), rng.randint(0, 3)))
+        flow = _Flow(n)
+        placed = [flow.arc(*x) for x in arcs]
+        total = flow.run(0, n - 1)
+        cost = sum(flow.arcs[e ^ 1][1] * x[3] for e, x in zip(placed, arcs))
+        # Single cheapest paths, one unit at a time.
+        plain = _Flow(n)
+        again, spent = [plain.arc(*x) for x in arcs], 0
+        while True:
+            d, came = {0: 0}, {}
+            for _ in range(n):
+                for e, (b, room, c) in enumerate(plain.arcs):
+                    a = plain.arcs[e ^ 1][0]
+                    if room and a in d and d[a] + c < d.get(b, 1 << 60):
+                        d[b], came[b] = d[a] + c, e
+            if n - 1 not in d:
+                break
+            at = n - 1
+            while at:
+                e = came[at]
+                plain.arcs[e][1] -= 1
+                plain.arcs[e ^ 1][1] += 1
+                at = plain.arcs[e ^ 1][0]
+            spent += d[n - 1]
+        assert cost == spent and total == sum(plain.arcs[e ^ 1][1] for e, x in zip(again, arcs) if x[1] == n - 1) - sum(plain.arcs[e ^ 1][1] for e, x in zip(again, arcs) if x[0] == n - 1)
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, f"text {i % 950}", rng.choice(["Web ", "web", "books", "wiki", None, "other"]), rng.randint(1, 40)) for i in range(1000)]
