@@ -9,7 +9,7 @@ from siftmill.llm.cooccur import item_pairs
 from siftmill.llm.langid import identify
 from siftmill.llm.mixing import Target, mix, share_report
 from siftmill.llm.packing import fill_report, pack
-from siftmill.llm.setjoin import similar_sets
+from siftmill.llm.setjoin import set_links, similar_sets
 from siftmill.llm.terms import term_statistics
 from siftmill.llm.tokens import token_count
 from siftmill.llm.topn import top_per_group
@@ -40,9 +40,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of every business: the number of similar ones and the best similarity."""
-    found = similar_sets(load(spark, d, "review"), "business_id", "user_id", least=5)
-    ends = found.select(F.explode(F.array("a", "b")).alias("business_id"), "similarity")
-    return ends.groupBy("business_id").agg(F.count(F.lit(1)).alias("n_links"), F.round(F.max("similarity"), 6).alias("best"))
+    found = set_links(load(spark, d, "review"), "business_id", "user_id", least=5)
+    return found.select("business_id", "n_links", F.round("best", 6).alias("best"))
 
 
 def p5_top3(spark: SparkSession, d: str) -> DataFrame:

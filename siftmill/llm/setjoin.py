@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.session import clean_id, materialise, small
+from siftmill.session import clean_id, discard, materialise, small
 
 #: A set is small while it has at most this many threshold-sized subsets.
 SUBSETS = 256
 #: Sets of more tokens than this are never gathered into an array; their overlaps are counted relationally.
 ARRAY = 4_096
+#: Members of equal sets that are paired in one group; larger classes are paired block by block.
+CLASS_BLOCK = 1_000
 
 
 def _ceil(a: int, b: int) -> int:
@@ -33,34 +36,36 @@ def _small_limit(least: int, num: int, den: int) -> int:
     return n
 
 
-def similar_sets(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 2, least: int = 1, array: int = ARRAY) -> DataFrame:
-    """Pairs of owners whose token sets, of at least ``least`` tokens, have a Jaccard similarity of num/den or more.
+@dataclass
+class Classes:
+    """The result of the join before expansion, as written tables.
 
-    Gives a < b (byte order), n_a, n_b, n_ab and similarity; ``num``/``den`` is in (0, 1].
+    ``owners`` (id, s, n) names the sets. Equal sets form a class whose head is its least id: ``members`` (id, head,
+    n, k) has the sets of classes of k > 1. ``alike`` (i, j, n_i, n_j, n_ab) are the similar pairs of heads, and
+    ``giants``, if not None, those with a set too large to gather, between single sets.
+    """
 
-    Method: a pair of sets needs an overlap o set by its two sizes. Small sets enumerate their subsets of exactly
-    the sizes o that some partner can need, so that two small sets meet under such a subset only if they are
-    similar: common tokens, however frequent, bring no false candidates. For a pair with a large set the inverted
-    lists of the larger set's rarest tokens are scanned, as many as any similar partner must hit, with bounds on
-    size and position. The candidates' overlap is then computed on the sets. Pairs with a set of more than
-    ``array`` tokens are counted on the inverted lists of all their tokens, without gathering a set. Equal sets
-    are joined as one and expanded in the result.
+    owners: DataFrame
+    members: DataFrame
+    alike: DataFrame
+    giants: DataFrame | None
 
-    Defined cases: rows with a null owner or token don't count, so an owner without tokens is in no pair; blanks
-    and tabs around both are removed; repeated rows count once; equal sets are pairs; an empty table gives no
-    rows; other columns don't matter.
-    """
+
+def similar_classes(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 2, least: int = 1, array: int = ARRAY) -> Classes:
+    """Similar pairs between representatives of equal sets, and who they stand for; see ``similar_sets``."""
     rows = materialise(df.select(clean_id(F.col(owner).cast("string")).alias("s"), clean_id(F.col(token).cast("string")).alias("t")).dropna().distinct())
     owners = materialise(rows.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= least).orderBy("s").withColumn("id", F.monotonically_increasing_id()))
     kept = rows.join(small(owners), "s")
     # Codes in the order of rising frequency.
     codes = materialise(kept.groupBy("t").agg(F.count(F.lit(1)).alias("f")).orderBy("f", "t").withColumn("code", F.monotonically_increasing_id()))
     coded = materialise(kept.join(small(codes), "t").select("id", "n", "code"))
+    discard(rows, codes)
 
     sets = materialise(coded.where(F.col("n") <= array).groupBy("id", "n").agg(F.sort_array(F.collect_list("code")).alias("x")))
     equal = materialise(sets.groupBy("n", "x").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("k")))
     heads = equal.select(F.col("head").alias("id"), "n", "x")
-    members = materialise(sets.join(equal.where("k > 1").select("x", "head"), "x").select("id", "head", "n"))
+    members = materialise(sets.join(equal.where("k > 1").select("n", "x", "head", "k"), ["n", "x"]).select("id", "head", "n", "k"))
+    discard(sets)
 
     limit = _small_limit(least, num, den)
     found = _by_subsets(heads, least, limit, num, den).unionAll(_by_lists(heads, limit, num, den)).distinct()
@@ -69,20 +74,49 @@ def similar_sets(df: DataFrame, owner: str, token: str, *, num: int = 1, den: in
         found.join(l, F.col("i") == F.col("l.id")).join(r, F.col("j") == F.col("r.id"))
         .select("i", "j", F.col("l.n").alias("n_i"), F.col("r.n").alias("n_j"), F.size(F.array_intersect("l.x", "r.x")).alias("n_ab"))
     )
-    alike = verified.where(F.col("n_ab") * (num + den) >= (F.col("n_i") + F.col("n_j")) * num)
-    # From heads of equal sets to their members.
-    pairs = alike
-    for side in ("i", "j"):
-        m = members.where("id <> head").select(F.col("head").alias(side), F.col("id").alias("_m"))
-        pairs = pairs.unionByName(pairs.join(m, side).drop(side).withColumnRenamed("_m", side))
-    a, b = members.alias("a"), members.alias("b")
-    same = a.join(b, (F.col("a.head") == F.col("b.head")) & (F.col("a.id") < F.col("b.id"))).select(
-        F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.n").alias("n_i"), F.col("b.n").alias("n_j"), F.col("a.n").alias("n_ab")
-    )
-    pairs = pairs.unionByName(same)
-    if owners.where(F.col("n") > array).limit(1).count():
-        pairs = pairs.unionByName(_giants(coded, array, num, den))
-    names = small(owners.select("id", "s"))
+    alike = materialise(verified.where(F.col("n_ab") * (num + den) >= (F.col("n_i") + F.col("n_j")) * num))
+    giants = materialise(_giants(coded, array, num, den)) if owners.where(F.col("n") > array).limit(1).count() else None
+    discard(equal, coded)
+    return Classes(owners, members, alike, giants)
+
+
+def similar_sets(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 2, least: int = 1, array: int = ARRAY) -> DataFrame:
+    """Pairs of owners whose token sets, of at least ``least`` tokens, have a Jaccard similarity of num/den or more.
+
+    Gives a < b (byte order), n_a, n_b, n_ab and similarity; ``num``/``den`` is in (0, 1].
+
+    Method: a pair of sets needs an overlap o set by its two sizes. Small sets enumerate their subsets of exactly
+    the sizes o that some partner can need, so that two small sets meet under such a subset only if they are
+    similar: common tokens, however frequent, bring no false candidates. For a pair with a large set the inverted
+    lists of the larger set's rarest tokens are scanned, as many as any similar partner must hit, with bounds on
+    size and position. The candidates' overlap is then computed on the sets. Pairs with a set of more than
+    ``array`` tokens are counted on the inverted lists of all their tokens, without gathering a set. Equal sets
+    are joined as one class and expanded here, large classes block by block; ``similar_classes`` and ``set_links``
+    give the result without expansion.
+
+    Defined cases: rows with a null owner or token don't count, so an owner without tokens is in no pair; blanks
+    and tabs around both are removed; repeated rows count once; equal sets are pairs; an empty table gives no
+    rows; other columns don't matter.
+    """
+    c = similar_classes(df, owner, token, num=num, den=den, least=least, array=array)
+    other = c.members.where("id <> head")
+    # From heads to their members, side by side: (i, j), (member, j), (i, member), (member, member).
+    pairs = c.alike
+    if not c.members.isEmpty():
+        for side in ("i", "j"):
+            m = other.select(F.col("head").alias(side), F.col("id").alias("_m"))
+            pairs = materialise(pairs.unionByName(pairs.join(m, side).drop(side).withColumnRenamed("_m", side)))
+        # Members of one class among themselves, each pair in the group of its two blocks.
+        blocks = F.ceil(F.col("k") / CLASS_BLOCK).cast("int")
+        m = c.members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        every = F.explode(F.expr("sequence(0, blocks - 1)"))
+        l = m.select("head", F.col("id").alias("i"), "n", F.col("own").alias("x"), every.alias("y"))
+        r = m.select("head", F.col("id").alias("j"), every.alias("x"), F.col("own").alias("y"))
+        same = l.join(r, ["head", "x", "y"]).where("i < j").select("i", "j", F.col("n").alias("n_i"), F.col("n").alias("n_j"), F.col("n").alias("n_ab"))
+        pairs = pairs.unionByName(same)
+    if c.giants is not None:
+        pairs = pairs.unionByName(c.giants)
+    names = small(c.owners.select("id", "s"))
     left = names.select(F.col("id").alias("i"), F.col("s").alias("s_i"))
     right = names.select(F.col("id").alias("j"), F.col("s").alias("s_j"))
     ordered = F.col("i") < F.col("j")
@@ -96,6 +130,27 @@ def similar_sets(df: DataFrame, owner: str, token: str, *, num: int = 1, den: in
     )
 
 
+def set_links(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 2, least: int = 1, array: int = ARRAY) -> DataFrame:
+    """Per owner with a similar set: owner, its class, n_links and the best similarity, without expanding equal sets.
+
+    Owners of equal sets have the same ``class``. The pairs and defined cases are those of ``similar_sets``.
+    """
+    c = similar_classes(df, owner, token, num=num, den=den, least=least, array=array)
+    similarity = F.col("n_ab") / (F.col("n_i") + F.col("n_j") - F.col("n_ab"))
+    ends = lambda pairs: pairs.select(F.explode(F.array(F.struct(F.col("i").alias("x"), F.col("j").alias("y")), F.struct(F.col("j").alias("x"), F.col("i").alias("y")))).alias("e"), similarity.alias("best")).select("e.x", "e.y", "best")
+    sizes = c.members.where("id = head").select(F.col("head").alias("y"), "k")
+    by_head = ends(c.alike).join(sizes, "y", "left").groupBy("x").agg(F.sum(F.coalesce("k", F.lit(1))).alias("n_links"), F.max("best").alias("best"))
+    links = by_head.join(c.members.select(F.col("head").alias("x")).distinct(), "x", "left_anti").withColumn("head", F.col("x"))
+    inner = c.members.join(by_head.withColumnRenamed("x", "head"), "head", "left").select(
+        F.col("id").alias("x"), (F.coalesce("n_links", F.lit(0)) + F.col("k") - 1).alias("n_links"), F.lit(1.0).alias("best"), "head"
+    )
+    links = links.select("x", "n_links", "best", "head").unionAll(inner)
+    if c.giants is not None:
+        large = ends(c.giants).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"), F.max("best").alias("best")).withColumn("head", F.lit(None).cast("bigint"))
+        links = links.unionAll(large).groupBy("x").agg(F.sum("n_links").alias("n_links"), F.max("best").alias("best"), F.max("head").alias("head"))
+    return links.join(small(c.owners.select(F.col("id").alias("x"), "s")), "x").select(F.col("s").alias(owner), F.coalesce("head", "x").alias("class"), "n_links", "best")
+
+
 def _by_subsets(heads: DataFrame, least: int, limit: int, num: int, den: int) -> DataFrame:
     """Pairs of small sets that share a subset of the size their pair needs."""
     plan = [

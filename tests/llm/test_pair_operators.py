@@ -11,7 +11,8 @@ import pytest
 
 from siftmill.llm import cooccur
 from siftmill.llm.cooccur import item_pairs
-from siftmill.llm.setjoin import _small_limit, similar_sets
+from siftmill.llm import setjoin
+from siftmill.llm.setjoin import _small_limit, set_links, similar_sets
 from siftmill.llm.topn import top_per_group
 
 
@@ -51,12 +52,13 @@ def brute_similar(rows, num, den, least):
 
 
 @pytest.mark.parametrize(("num", "den", "least", "array"), [(1, 2, 5, 4096), (1, 2, 1, 12), (4, 5, 3, 4096), (1, 3, 2, 25), (1, 1, 1, 4096)])
-def test_similar_sets(spark, num, den, least, array):
+def test_similar_sets(spark, monkeypatch, num, den, least, array):
+    monkeypatch.setattr(setjoin, "CLASS_BLOCK", 2)
     rng = random.Random(num * 10 + den)
     rows = []
     for k in range(120):
         base = rng.sample(range(60), rng.choice([2, 3, 5, 6, 8, 9, 10, 15, 30]))
-        for copy in range(rng.choice([1, 1, 2, 3])):
+        for copy in range(rng.choice([1, 1, 2, 3, 7])):
             kept = [t for t in base if rng.random() < (1.0 if copy % 2 else 0.8)] or base
             rows += [(f"o{k}_{copy}", f"t{t}") for t in kept] + ([(f"o{k}_{copy}", "hot")] if rng.random() < 0.7 else [])
     rows += [(" o1_0\t", "t1 "), (None, "t1"), ("o1_0", None)] + rows[:30]
@@ -64,7 +66,11 @@ def test_similar_sets(spark, num, den, least, array):
     got = [(r.a, r.b, r.n_ab) for r in similar_sets(df, "o", "t", num=num, den=den, least=least, array=array).collect()]
     want = brute_similar(rows, num, den, least)
     assert len(got) == len({g[:2] for g in got}) and {(a, b): n for a, b, n in got} == want and want
-    assert similar_sets(df.limit(0), "o", "t").count() == 0
+    links = Counter(x for pair in want for x in pair)
+    rows = set_links(df, "o", "t", num=num, den=den, least=least, array=array).collect()
+    assert {r.o: r.n_links for r in rows} == dict(links) and len(rows) == len(links) and len({r["class"] for r in rows}) < len(rows)
+    assert all(0 < r.best <= 1 for r in rows)
+    assert similar_sets(df.limit(0), "o", "t").count() == set_links(df.limit(0), "o", "t").count() == 0
 
 
 def test_small_sets_are_those_with_few_subsets():
