@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most this many rows; the operators that call
-#: ``small`` have rows of a few dozen bytes, so that a broadcast stays within some tens of MB.
-BROADCAST_ROWS = 300_000
+#: ``small`` have rows of a few dozen bytes, so that a broadcast stays within some ten MB.
+BROADCAST_ROWS = 100_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -23,15 +23,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediates: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent, a local session gets a temporary folder; any other session gets a folder
-    beside its warehouse, which all executors share.
+    Where the setting is absent, a local session gets a temporary folder; any other session raises an error, as
+    no folder is known that all its machines share.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local["):
-            found = "file://" + tempfile.mkdtemp(prefix="siftmill-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siftmill"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="siftmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
