@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most this many rows; the operators that call
-#: ``small`` have rows of a few dozen bytes, so that a broadcast stays within some ten MB.
-BROADCAST_ROWS = 100_000
+#: ``small`` have rows of a few dozen bytes, so that a broadcast stays within a few MB.
+BROADCAST_ROWS = 30_000
 
 _written: list[tuple[SparkSession, str]] = []
 
