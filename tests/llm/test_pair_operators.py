@@ -42,6 +42,29 @@ def test_item_pairs(spark, monkeypatch, width, large, step):
     assert item_pairs(df.where("u = 'lone'"), "u", "i").count() == 0
 
 
+def test_gram_matrix_of_record_blocks(monkeypatch):
+    """Dense and listed products, head and tail, one block or many: always the plain pair counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    baskets = [sorted(rng.sample(range(37), rng.randint(1, 20))) for _ in range(200)]
+    entries = [(f"b{i:03}", c) for i, b in enumerate(baskets) for c in b]
+    want = Counter(p for b in baskets for p in itertools.combinations(b, 2))
+    for head, block, held, listed in itertools.product((0, 2, 9), (7, 10**6), (20, 10**6), (0, 10**6)):
+        for name, value in (("HEAD", head), ("BLOCK_ENTRIES", block), ("HELD_CELLS", held), ("LISTED", listed), ("STRIP", 3)):
+            monkeypatch.setattr(cooccur, name, value)
+        batches = [pa.record_batch([pa.array([b for b, _ in part]), pa.array([c for _, c in part], pa.int64())], names=["basket", "code"]) for part in (entries[at : at + 33] for at in range(0, len(entries), 33))]
+        got = Counter()
+        for out in cooccur._products(37, 8, 50)(batches):
+            for r in out.to_pylist():
+                assert {c >> 3 for c in r["cells"]} == {r["strip"]}
+                for c, n in zip(r["cells"], r["counts"]):
+                    got[r["bi"] * 8 + c // 8, r["bj"] * 8 + c % 8] += n
+        assert got == want
+    assert list(cooccur._products(1, 8, 50)([])) == []
+
+
 def brute_similar(rows, num, den, least):
     sets = defaultdict(set)
     for o, t in rows:
