@@ -28,9 +28,15 @@ def _word(level: Column) -> Column:
 
 
 def _score_code(score: Column) -> Column:
-    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), score + F.lit(0.0)).cast("bigint")
-    rising = F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(bits)
-    return F.bitwise_not(rising)
+    """The bits of a double as a bigint, turned round so that higher scores have smaller codes.
+
+    They are read from the double's exact hexadecimal form, [-]0xL.FFFpE, inside the JVM and without reflection.
+    """
+    form = F.format_string("%a", F.abs(score))
+    fraction = F.conv(F.rpad(F.regexp_extract(form, r"\.([0-9a-f]+)p", 1), 13, "0"), 16, 10).cast("bigint")
+    exponent = F.regexp_extract(form, r"p(-?\d+)$", 1).cast("bigint")
+    bits = F.when(form == "Infinity", F.lit(0x7FF << 52)).when(form.startswith("0x0."), fraction).otherwise((exponent + 1023) * F.lit(1 << 52) + fraction)
+    return F.when(score < 0, bits).otherwise(F.bitwise_not(bits))
 
 
 def top_per_group(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame:

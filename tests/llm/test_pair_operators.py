@@ -116,7 +116,7 @@ def brute_top(rows, n):
 @pytest.mark.parametrize("n", [0, 1, 3, 7, 1000])
 def test_top_per_group(spark, n):
     rng = random.Random(n)
-    scores = [0.0, -0.0, 1.0, 0.5, 0.5000000001, -2.5, 1e300, -1e-300, math.inf, -math.inf, math.nan, None]
+    scores = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 1.0, 0.1, 0.5, 0.5000000001, -2.5, 1e300, -1e-300, math.inf, -math.inf, math.nan, None]
     ids = ["a", "a\x00", "ab", "abcdef", "abcdefg", "é", "日本", "", *(f"same-long-prefix-{i}" for i in range(300))]
     rows = [(rng.choice(["hot", "hot", "hot", " hot", f"g{rng.randint(0, 30)}", None]), rng.choice([*ids, None]), rng.choice(scores)) for _ in range(3000)]
     rows += [("tie", f"same-long-prefix-{i}", 0.25) for i in range(500)]
