@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import scalars as S
 from siftmill.operators import basic, cluster, graph, itemsets, recommend, similarity
+from siftmill.session import materialise
 from siftmill.sources import files
 from siftmill.streaming.chunks import cluster_stream
 
@@ -46,6 +47,27 @@ def test_itemsets_by_both_ways_and_any_chunks(spark, entries):
     assert itemsets.frequent_itemsets(rows.limit(0), 7).count() == 0
 
 
+def test_large_classes_are_divided_and_counted_in_blocks(spark, monkeypatch, entries):
+    rows = itemsets.entries(spark.createDataFrame(entries, "u string, i string"), "u", "i")
+    want = brute_itemsets(entries, 7)
+    for class_rows, bits in ((40, 64 << 20), (10**6, 0), (5, 0)):
+        monkeypatch.setattr(itemsets, "CLASS_ROWS", class_rows)
+        monkeypatch.setattr(itemsets, "BIT_BYTES", bits)
+        found = itemsets.frequent_itemsets(rows, 7).collect()
+        assert len(found) == len(want) and {tuple(r.itemset): r.support for r in found} == want
+        short = itemsets.frequent_itemsets(rows, 7, max_size=3).collect()
+        assert len(short) == len({k for k in want if len(k) <= 3}) and all(len(r.itemset) <= 3 for r in short)
+        candidates = spark.createDataFrame([(list(k),) for k in want] + [(["97", "none"],)], "itemset array<string>")
+        assert {tuple(r.itemset): r.support for r in itemsets.count_itemsets(candidates, rows, 7).collect()} == want
+
+
+def test_a_basket_of_fifty_thousand_items(spark, entries):
+    big = spark.range(50_000).select(F.lit("big").alias("basket"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("item"))
+    rows = materialise(itemsets.entries(spark.createDataFrame(entries, "basket string, item string"), "basket", "item").unionAll(big))
+    got = {tuple(r.itemset): r.support for r in itemsets.two_phase_itemsets(rows, 7, F.lit(0)).collect()}
+    assert got == brute_itemsets(entries, 7)
+
+
 def test_bucket_pruning_loses_no_pair(spark, entries):
     rows = itemsets.entries(spark.createDataFrame(entries, "u string, i string"), "u", "i").withColumn("chunk", F.lit(0))
     supports = spark.createDataFrame([(0, 7)], "chunk int, local_support bigint")
