@@ -159,6 +159,30 @@ def test_model_and_errors(spark, ratings):
     assert e.n == df.count() and 0 < e.rmse < 1.5 and e.n_extreme == df.where("stars in (1, 2, 5)").count()
 
 
+def test_boosted_trees(spark):
+    import numpy as np
+
+    from siftmill.operators import boosting
+
+    rng = random.Random(4)
+    rows = [(float(rng.randint(0, 9)), rng.random(), None if rng.random() < 0.1 else rng.gauss(0, 1), 0.0, i) for i in range(3000)]
+    rows = [(a, b, c, (3.0 if a > 4 else 0.0) + (1.0 if b > 0.5 and (c or -9) > 0 else 0.0), i) for a, b, c, _, i in rows] + [(1.0, 1.0, 1.0, None, -1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, id int")
+    model = boosting.boosted_trees(df, ["a", "b", "c"], "y", bins=40, trees=40, depth=3, rate=0.3)
+    got = {r.id: r.prediction for r in model.predict(df).collect()}
+    error = [(got[i] - y) ** 2 for *_, y, i in rows if y is not None]
+    assert len(got) == len(rows) and sum(error) / len(error) < 0.03
+    # One tree of one level: the best single cut, its leaves shrunk by the penalty, by hand.
+    x, y = np.array([[0], [1], [2], [3]]), np.array([1.0, 1.0, 4.0, 6.0])
+    tree, leaf = boosting.grow(x, np.ones(4), y - 3.0, 4, 1, 0.5, 1.0)
+    assert (tree.feature[0], tree.cut[0]) == (0, 1) and leaf.tolist() == [1, 1, 2, 2] == tree.leaves(x).tolist()
+    assert tree.value[1:].tolist() == [0.5 * -4 / 3, 0.5 * 4 / 3]
+    again = boosting.boosted_trees(df.repartition(5), ["a", "b", "c"], "y", bins=40, trees=3, depth=3)
+    assert [t.cut.tolist() for t in again.trees] == [t.cut.tolist() for t in boosting.boosted_trees(df, ["a", "b", "c"], "y", bins=40, trees=3, depth=3).trees]
+    assert boosting.boosted_trees(df.limit(0), ["a"], "y").predict(df.limit(2)).count() == 2
+    assert [r.prediction for r in boosting.boosted_trees(df.limit(0), ["a"], "y").predict(df.limit(1)).collect()] == [0.0]
+
+
 EDGES = [(a, b) for part in ("abcd", "efgh") for a, b in itertools.combinations(part, 2)] + [("d", "e"), ("x", "y")]
 
 
