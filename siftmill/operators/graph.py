@@ -1,16 +1,27 @@
 """Graphs as edge tables (a < b): co-occurrence, components, labels, betweenness, modularity, divisive communities.
 
-Loops write each round's state once and keep only counts on the driver.
+Loops write each round's state once and keep only counts on the driver. Betweenness and divisive communities of a
+graph of at most ``HELD_EDGES`` edges, which are counted, hold it as arrays in every task and distribute the roots;
+larger graphs go level by level through joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.operators.similarity import overlapping_pairs
 from siftmill.session import discard, materialise
 
+#: Edges of a graph that a task or the driver may hold (some 24 bytes each).
+HELD_EDGES = 2_000_000
+#: Roots times edges that are walked on the driver rather than in a job of their own.
+QUICK = 3_000_000
+
 
 def cooccurrence_edges(df: DataFrame, vertex: str, shared: str, least: int = 7) -> DataFrame:
     """Edges a < b between vertices that share at least ``least`` values; lone vertices are in no edge."""
@@ -82,12 +93,99 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
     return out
 
 
+class _Held:
+    """A graph as arrays: names of the vertices, ends of the edges, and each vertex's neighbours and edges."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: int) -> None:
+        self.a, self.b, self.n = a, b, n
+        ends, other, edge = np.append(a, b), np.append(b, a), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((other, ends))
+        self.near, self.edge = other[order], edge[order]
+        self.start = np.append(0, np.cumsum(np.bincount(ends, minlength=n)))
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> tuple[_Held, np.ndarray]:
+        table = edges.select("a", "b").orderBy("a", "b").toArrow()
+        a, b = (np.array(table.column(c).to_pylist(), object) for c in ("a", "b"))
+        names, codes = np.unique(np.append(a, b), return_inverse=True)
+        return cls(codes[: len(a)], codes[len(a) :], len(names)), names
+
+    def credits(self, roots: np.ndarray) -> np.ndarray:
+        """Credit of every edge, summed over the shortest paths from ``roots``."""
+        out = np.zeros(len(self.a))
+        level, sigma, credit = np.full(self.n, -1), np.zeros(self.n), np.zeros(self.n)
+        for root in roots:
+            level[:], sigma[:], credit[:] = -1, 0, 0
+            level[root], sigma[root] = 0, 1
+            front, steps = np.array([root]), []
+            while len(front):
+                size = self.start[front + 1] - self.start[front]
+                at = np.repeat(self.start[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                u, v = np.repeat(front, size), self.near[at]
+                front = np.unique(v[level[v] < 0])
+                level[front] = len(steps) + 1
+                down = level[v] == len(steps) + 1
+                u, v, e = u[down], v[down], self.edge[at[down]]
+                np.add.at(sigma, v, sigma[u])
+                steps.append((u, v, e))
+            for u, v, e in reversed(steps):
+                flow = (credit[v] + 1) * sigma[u] / sigma[v]
+                np.add.at(credit, u, flow)
+                out[e] += flow
+        return out
+
+    def betweenness(self, spark, roots: np.ndarray) -> np.ndarray:
+        """Scores by ``roots``, whose tasks each give one sum per edge. Summed exactly, so the tasks don't matter."""
+        if len(roots) * len(self.a) <= QUICK:
+            return self.credits(roots) / 2
+        graph = self
+
+        def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score = sum((graph.credits(b.column(0).to_numpy()) for b in batches), np.zeros(len(graph.a)))
+            e = np.flatnonzero(score)
+            yield pa.record_batch([pa.array(e), pa.array(score[e])], names=["e", "score"])
+
+        parts = min(len(roots), 4 * spark.sparkContext.defaultParallelism)
+        table = spark.createDataFrame([(int(r),) for r in roots], "root bigint").repartition(parts)
+        rows = table.mapInArrow(walk, "e bigint, score double").groupBy("e").agg(F.sum("score").alias("score")).toArrow()
+        out = np.zeros(len(self.a))
+        out[rows.column("e").to_numpy()] = rows.column("score").to_numpy()
+        return out / 2
+
+    def components(self, keep: np.ndarray) -> np.ndarray:
+        """The least vertex that each one reaches over the edges ``keep``: labels sink and paths are halved until nothing changes."""
+        label, a, b = np.arange(self.n), self.a[keep], self.b[keep]
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for x in (a, b, label[a], label[b]):
+                np.minimum.at(new, x, low)
+            new = new[new]
+            if (new == label).all():
+                return label
+            label = new
+
+
 def edge_betweenness(edges: DataFrame) -> DataFrame:
     """(a, b, score): over all vertex pairs, the share of shortest paths that use the edge.
 
-    Credits flow back level by level: an edge from a parent p to a child c of a root's shortest-path graph carries
-    (credit(c) + 1) * sigma(p) / sigma(c); scores are halved, as each path is seen from both ends.
+    From every root, numbers of shortest paths go down level by level and credits come back: an edge from a parent
+    p to a child c carries (credit(c) + 1) * sigma(p) / sigma(c); scores are halved, as each path is seen from both
+    ends. A graph of at most ``HELD_EDGES`` edges is walked in the tasks' memory, the roots being distributed.
     """
+    edges = materialise(edges.select("a", "b"))
+    if edges.count() > HELD_EDGES:
+        return joined_betweenness(edges)
+    spark = edges.sparkSession
+    graph, names = _Held.of(edges)
+    score = graph.betweenness(spark, np.arange(graph.n))
+    table = pa.table([pa.array(names[graph.a].tolist(), pa.string()), pa.array(names[graph.b].tolist(), pa.string()), pa.array(score)], names=["a", "b", "score"])
+    kind = edges.schema["a"].dataType
+    return spark.createDataFrame(table).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "score")
+
+
+def joined_betweenness(edges: DataFrame) -> DataFrame:
+    """As ``edge_betweenness``, for graphs of any size: joins per level over all roots, (vertices squared) rows in all."""
     paths = materialise(shortest_paths(edges))
     links = materialise(both_ways(edges))
     depth = paths.agg(F.max("level")).first()[0] or 0
@@ -125,12 +223,14 @@ def divide(edges: DataFrame, *, max_rounds: int | None = None) -> tuple[DataFram
     graph, until no edge is left or ``max_rounds``. Gives the partition of the first best modularity, and the log
     of rounds (round, edges left, Q)."""
     whole = materialise(edges.select("a", "b"))
+    if whole.count() <= HELD_EDGES:
+        return _divide_held(whole, max_rounds)
     ids = materialise(vertices(whole))
     best = connected_components(whole, ids)
     best_q = modularity(best, whole).first()[0]
     log, left = [(0, whole.count(), best_q)], whole
     while log[-1][1] and (max_rounds is None or len(log) <= max_rounds):
-        scores = materialise(edge_betweenness(left))
+        scores = materialise(joined_betweenness(left))
         top = scores.agg(F.max("score")).first()[0]
         left = materialise(scores.where(F.col("score") < top * (1 - 1e-9)).select("a", "b"))
         parts = connected_components(left, ids)
@@ -141,5 +241,37 @@ def divide(edges: DataFrame, *, max_rounds: int | None = None) -> tuple[DataFram
     return best, log
 
 
+def _divide_held(whole: DataFrame, max_rounds: int | None) -> tuple[DataFrame, list[tuple[int, int, float]]]:
+    """The rounds of ``divide`` on a held graph: a round walks only from the vertices of components that lost edges."""
+    graph, names = _Held.of(whole)
+    m, degree = len(graph.a), np.bincount(np.append(graph.a, graph.b), minlength=graph.n)
+
+    def quality(label: np.ndarray) -> float:
+        inner = label[graph.a] == label[graph.b]
+        return float(inner.sum() / m - (np.bincount(label, degree) / (2 * m)).astype(float) @ (np.bincount(label, degree) / (2 * m))) if m else 0.0
+
+    alive = np.ones(m, bool)
+    label = best = graph.components(alive)
+    best_q = quality(label)
+    log, score, stale = [(0, m, best_q)], np.zeros(m), np.ones(graph.n, bool)
+    while alive.any() and (max_rounds is None or len(log) <= max_rounds):
+        fresh = alive & stale[graph.a]
+        if fresh.any():
+            e = np.flatnonzero(fresh)
+            part = _Held(graph.a[e], graph.b[e], graph.n)
+            score[e] = part.betweenness(whole.sparkSession, np.unique(np.append(part.a, part.b)))
+        gone = alive & (score >= score[alive].max() * (1 - 1e-9))
+        alive &= ~gone
+        hit = np.isin(label, label[graph.a[gone]])  # the components that lost an edge
+        label, stale = graph.components(alive), hit
+        q = quality(label)
+        log.append((len(log), int(alive.sum()), q))
+        if q > best_q + 1e-12:
+            best, best_q = label, q
+    kind = whole.schema["a"].dataType
+    table = pa.table([pa.array(names.tolist(), pa.string()), pa.array(names[best].tolist() if m else [], pa.string())], names=["id", "component"])
+    return whole.sparkSession.createDataFrame(table).select(F.col("id").cast(kind).alias("id"), F.col("component").cast(kind).alias("component")), log
+
+
 def ranked_edges(scores: DataFrame) -> DataFrame:
     return scores.orderBy(F.desc("score"), "a", "b")

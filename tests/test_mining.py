@@ -228,6 +228,25 @@ def test_graph(spark):
     assert graph.connected_components(edges.limit(0)).count() == 0
 
 
+def test_betweenness_and_division_by_both_ways(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = sorted({tuple(sorted(rng.sample([f"v{i:02}" for i in range(24)], 2))) for _ in range(40)})
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    want, _ = brute_betweenness(pairs)
+    close = lambda df: {(r.a, r.b): r.score for r in df.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    assert close(graph.edge_betweenness(edges))
+    monkeypatch.setattr(graph, "QUICK", 0)
+    assert close(graph.edge_betweenness(edges)) and close(graph.joined_betweenness(edges))
+    parts, log = graph.divide(edges, max_rounds=4)
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    other, again = graph.divide(edges, max_rounds=4)
+    assert [x[:2] for x in log] == [x[:2] for x in again] and [x[2] for x in log] == pytest.approx([x[2] for x in again])
+    assert sorted(parts.collect()) == sorted(other.collect())
+    nothing = edges.limit(0)
+    monkeypatch.setattr(graph, "HELD_EDGES", 10)
+    assert graph.edge_betweenness(nothing).count() == 0 and graph.divide(nothing)[0].count() == 0
+
+
 def test_cooccurrence_graph(spark):
     df = spark.createDataFrame([(u, f"i{i}") for u, n in (("a", 8), ("b", 7), ("c", 3)) for i in range(n)], "u string, i string")
     assert [(r.a, r.b, r.shared) for r in graph.cooccurrence_edges(df, "u", "i", 7).collect()] == [("a", "b", 7)]
