@@ -377,7 +377,7 @@ def near_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_centres(spark: SparkSession, d: str) -> DataFrame:
-    c = cluster.farthest_first(D.points(spark, d), 4)
+    c = cluster.farthest_first(D.points(spark, d), 10)
     return spark.createDataFrame([(i, j, x) for i, row in enumerate(c) for j, x in enumerate(row)], "centre int, dim int, x double").withColumn("x", F.round("x", 6))
 
 

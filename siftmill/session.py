@@ -35,21 +35,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def folder(spark: SparkSession, name: str = "") -> str:
+    """A new path in the shared folder, deleted when the session ends or by ``discard``."""
+    path = f"{shared_dir(spark)}/siftmill/{name and name + '-'}{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep)
+    _written.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, *, by: str | None = None) -> DataFrame:
     """Writes ``df`` once as parquet in the shared folder and returns the table read back.
 
-    This cuts the lineage, survives the loss of executors and gives the planner true sizes. The files go when
-    the session ends, or earlier through ``discard``.
+    This cuts the lineage, survives the loss of executors and gives the planner true sizes. ``by`` names a column
+    whose values get folders of their own, so that a filter on it reads only these. The files go when the session
+    ends, or earlier through ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftmill/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._siftmill_path = path
-    return out
+    path = folder(spark)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._siftmill_path = path
+    return back
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Adds the rows of ``df`` to the parquet table in ``path``."""
+    df.write.option("compression", "zstd").mode("append").parquet(path)
+
+
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def discard(*dfs: DataFrame | None) -> None:

@@ -271,6 +271,36 @@ def test_kmeans(spark, blobs):
     assert cluster.kmeans(df.limit(0).select("id", "features"), 3)[0].count() == 0
 
 
+def test_clustering_in_memory_and_by_jobs_is_the_same(spark, monkeypatch, blobs):
+    rows, df = blobs
+    points = df.select("id", "features").repartition(3)
+    held = cluster.kmeans(points, 4)
+    few = cluster.farthest_first(points, 6)
+    monkeypatch.setattr(cluster, "HELD_VALUES", 0)
+    monkeypatch.setattr(cluster, "MATRIX_VALUES", 16)
+    jobs = cluster.kmeans(points, 4)
+    assert {r.id: r.cluster for r in held[0].collect()} == {r.id: r.cluster for r in jobs[0].collect()}
+    assert all(math.dist(a, b) < 1e-9 for a, b in zip(held[1], jobs[1])) and cluster.farthest_first(points, 6) == few
+    monkeypatch.setattr(cluster, "HELD_CLUSTERS", 2)
+    got = {r.cluster: (r.n, r.s, r.ss) for r in cluster.summaries(df.withColumn("cluster", F.concat(F.lit("c"), F.col("id") % 7))).collect()}
+    for k in range(7):
+        mine = [x for i, x, _ in rows if i % 7 == k]
+        assert got[f"c{k}"][0] == len(mine) and got[f"c{k}"][1] == pytest.approx([sum(c) for c in zip(*mine)]) and got[f"c{k}"][2] == pytest.approx([sum(v * v for v in c) for c in zip(*mine)])
+
+
+def test_close_summaries_merge(spark):
+    rng = random.Random(1)
+
+    def made(key, at):
+        points = [[rng.gauss(at, 1), rng.gauss(-at, 1)] for _ in range(20)]
+        return cluster.Summary(key, 20, [sum(c) for c in zip(*points)], [sum(v * v for v in c) for c in zip(*points)])
+
+    sets = [made(0, 0), made(1, 100), made(2, 0.1), made(3, 100.1), made(4, 0.2), made(5, -500)]
+    moved = cluster.merge_close(sets)
+    assert [s.key for s in sets] == [0, 1, 5] and moved == {2: 0, 4: 0, 3: 1} or {s.n for s in sets} == {60, 40, 20}
+    assert cluster.merge_close(sets) == {} and cluster.merge_close([]) == {}
+
+
 def test_chunked_clustering_keeps_every_point(spark, blobs):
     rows, df = blobs
     state = cluster.cluster_chunks(df, k=3, max_rounds=20)
