@@ -25,6 +25,8 @@ HELD_VALUES, MATRIX_VALUES = 4_000_000, 4_000_000
 #: Clusters whose sums a task holds before it hands them on.
 HELD_CLUSTERS = 10_000
 
+ROUNDS = "round int, discard_sets int, discard_points bigint, compression_sets int, compression_points bigint, retained_points bigint"
+
 
 def _matrix(features: pa.Array) -> np.ndarray:
     """The features of a batch as rows."""
@@ -302,6 +304,8 @@ class ChunkedClustering:
     members: str | None = None
     moved: dict[int, int] = field(default_factory=dict)
     stats: list[tuple] = field(default_factory=list)
+    #: A folder of CSV files to which every round's statistics are appended when the round is over.
+    rounds_path: str | None = None
     _next: int = 0
 
     def _new_sets(self, clustered: DataFrame) -> tuple[list[Summary], DataFrame]:
@@ -335,7 +339,12 @@ class ChunkedClustering:
         self._keep(joined.select("id", "key"))
         return near.where("key is null").select("id", "features")
 
+    def _report(self, spark) -> None:
+        if self.rounds_path and self.stats:
+            spark.createDataFrame(self.stats[-1:], ROUNDS).write.mode("append").option("header", True).csv(self.rounds_path)
+
     def feed(self, chunk: DataFrame) -> None:
+        self._report(chunk.sparkSession)  # of the round before: the last one's changes at the end
         chunk = materialise(chunk.select("id", "features"))
         if not self.discard:
             clustered, _ = kmeans(chunk, self.k, max_rounds=self.max_rounds)
@@ -369,6 +378,7 @@ class ChunkedClustering:
         if self.stats:
             self.stats.pop()
         self._count()
+        self._report(self.retained.sparkSession)
 
     def labels(self) -> DataFrame:
         """(id, cluster): the discard set of every point, -1 for retained ones."""
@@ -381,13 +391,13 @@ class ChunkedClustering:
         return out
 
     def rounds(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.stats, "round int, discard_sets int, discard_points bigint, compression_sets int, compression_points bigint, retained_points bigint")
+        return spark.createDataFrame(self.stats, ROUNDS)
 
 
-def cluster_chunks(points: DataFrame, *, chunk: str = "chunk", k: int = 10, max_rounds: int = 1000) -> ChunkedClustering:
+def cluster_chunks(points: DataFrame, *, chunk: str = "chunk", k: int = 10, max_rounds: int = 1000, rounds_path: str | None = None) -> ChunkedClustering:
     """Feeds the chunks of ``points`` in order and finishes. The points are written once, a folder per chunk, so that
     each chunk reads its own rows."""
-    state = ChunkedClustering(k=k, max_rounds=max_rounds)
+    state = ChunkedClustering(k=k, max_rounds=max_rounds, rounds_path=rounds_path)
     written = materialise(points.select("id", "features", F.col(chunk).alias("_chunk")), by="_chunk")
     for c in [r[0] for r in written.select("_chunk").distinct().orderBy("_chunk").collect()]:
         state.feed(written.where(F.col("_chunk") == c))

@@ -136,3 +136,22 @@ def correlated_items(ratings: DataFrame, *, co_rated: int = 3, above: float = 0.
     sums = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), s("x").alias("sx"), s("y").alias("sy"), s("x * y").alias("sxy"), s("x * x").alias("sxx"), s("y * y").alias("syy"))
     sim = pearson(*(F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")))
     return sums.select(F.col("a").alias("b1"), F.col("b").alias("b2"), "n", sim.alias("sim")).where(F.col("sim") > above)
+
+
+def directed_model(pairs: DataFrame, ratings: DataFrame, *, co_rated: int = 175, above: float = 0.0) -> DataFrame:
+    """Correlations (nb, item, n, sim) of the items that users rated with the items they are asked for in ``pairs``.
+
+    As ``correlated_items`` with ``co_rated`` common raters or more and sim > ``above``, in the direction from the
+    history to the asked item. An item is also its own neighbour, with sim 1, if it has so many raters and its
+    ratings vary.
+    """
+    model = correlated_items(ratings, co_rated=co_rated, above=above)
+    spread = F.sum(F.col("stars") * F.col("stars")) - F.sum("stars") * F.sum("stars") / F.count(F.lit(1))
+    own = ratings.groupBy("item").agg(F.count(F.lit(1)).alias("n"), spread.alias("v")).where((F.col("n") >= co_rated) & (F.col("v") > 1e-9) & F.lit(above < 1))
+    directed = (
+        model.select(F.col("b1").alias("nb"), F.col("b2").alias("item"), "n", "sim")
+        .unionAll(model.select(F.col("b2").alias("nb"), F.col("b1").alias("item"), "n", "sim"))
+        .unionAll(own.select(F.col("item").alias("nb"), "item", "n", F.lit(1.0).alias("sim")))
+    )
+    asked = pairs.select("user", "item").distinct().join(directed, "item")
+    return asked.join(ratings.select("user", F.col("item").alias("nb")), ["user", "nb"], "left_semi").select("nb", "item", "n", "sim").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftmill.functions import scalars as S
 from siftmill.operators import basic, cluster, graph, itemsets, recommend, similarity
 from siftmill.plans import datasets as D
-from siftmill.session import load, materialise, shared_dir
+from siftmill.session import folder, load, materialise
 from siftmill.sources import files
 
 YEAR, SUPPORT, CHUNKS, BUCKETS = 2018, 9, 4, 1000
@@ -38,6 +38,11 @@ def facts_document(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def category_document(spark: SparkSession, d: str) -> DataFrame:
+    """The best categories as {"result": [[category, mean], ...]}."""
+    return files.pair_document(category_top(spark, d), "category", "mean", F.desc("mean"), "category")
+
+
 def partition_buckets(spark: SparkSession, d: str) -> DataFrame:
     return basic.bucket_sizes(load(spark, d, "documents"), F.col("doc_id"), 27)
 
@@ -53,7 +58,7 @@ def partition_random_counts(spark: SparkSession, d: str) -> DataFrame:
 def partition_document(spark: SparkSession, d: str) -> DataFrame:
     """Number of partitions, rows in each, and the keys above the threshold, as one JSON object."""
     rows = basic.hash_partitioned(D.reviews(spark, d).select("business_id"), "business_id", 27)
-    return files.document(spark, n_partitions=27, n_items=basic.partition_sizes(rows, 27).orderBy("partition"), result=basic.group_counts(rows, "business_id", above=4))
+    return files.document(spark, n_partitions=rows.rdd.getNumPartitions(), n_items=basic.partition_sizes(rows, 27).orderBy("partition"), result=basic.group_counts(rows, "business_id", above=4))
 
 
 # Ratings --------------------------------------------------------------------------------------------------------
@@ -80,7 +85,7 @@ def longest_history(spark: SparkSession, d: str) -> DataFrame:
 
 def known_pairs(spark: SparkSession, d: str) -> DataFrame:
     r = D.raw_ratings(spark, d)
-    return basic.known(basic.known(D.test_pairs(spark, d), r.select("user"), "user"), r.select("item"), "item")
+    return basic.known(basic.known(D.test_pairs(spark, d), r.select("user").distinct(), "user"), r.select("item").distinct(), "item")
 
 
 def cold_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -220,6 +225,11 @@ def item_model_strict(spark: SparkSession, d: str) -> DataFrame:
     return similarity.correlated_items(materialise(_ratings(spark, d)), co_rated=2 * CO_RATED, above=0.0).withColumn("sim", F.round("sim", 6))
 
 
+def item_model_directed(spark: SparkSession, d: str) -> DataFrame:
+    """The model of the hybrid recommender: from history items to the items asked for, themselves included."""
+    return similarity.directed_model(D.test_pairs(spark, d), materialise(_ratings(spark, d))).withColumn("sim", F.round("sim", 6))
+
+
 # Recommendation -------------------------------------------------------------------------------------------------
 
 def _held_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -334,7 +344,7 @@ def graph_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_edge_lines(spark: SparkSession, d: str) -> DataFrame:
-    return files.edge_lines(graph.edge_betweenness(_edges(spark, d, 7)))
+    return files.edge_lines(graph.edge_betweenness(_edges(spark, d, 7)).withColumn("score", F.round("score", 4)))
 
 
 # Clustering -----------------------------------------------------------------------------------------------------
@@ -402,12 +412,36 @@ def chunk_label_lines(spark: SparkSession, d: str) -> DataFrame:
     return files.point_map(chunk_labels(spark, d))
 
 
+def chunk_label_map(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the one JSON map from points to clusters."""
+    return files.point_map_lines(chunk_labels(spark, d))
+
+
+def chunk_rounds_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics appended to CSV files round by round, read back."""
+    path = _folder(spark, "rounds")
+    cluster.cluster_chunks(D.points(spark, d), rounds_path=path)
+    return files.read_csv(spark, path, cluster.ROUNDS)
+
+
+def chunk_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Round statistics of the chunks as a stream of files, written one after another."""
+    from siftmill.streaming.chunks import cluster_stream
+
+    path = _folder(spark, "stream")
+    for c in range(5):
+        _write_points(D.points(spark, d).where(f"chunk = {c}").coalesce(1), path, "append")
+    return cluster_stream(spark, path, _folder(spark, "state")).rounds(spark)
+
+
 # Sources and sinks ----------------------------------------------------------------------------------------------
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import uuid
+    return folder(spark, name)
+
 
-    return f"{shared_dir(spark)}/siftmill/{name}-{uuid.uuid4().hex}"
+def _write_points(points: DataFrame, path: str, mode: str = "overwrite") -> None:
+    points.select(F.concat_ws(",", F.col("id").cast("string"), F.col("features").cast("array<string>")).alias("value")).write.mode(mode).text(path)
 
 
 def source_json(spark: SparkSession, d: str) -> DataFrame:
@@ -430,11 +464,37 @@ def source_model(spark: SparkSession, d: str) -> DataFrame:
 
 def source_points(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "points")
-    files.write_lines(D.points(spark, d).select(F.concat_ws(",", F.col("id").cast("string"), F.col("features").cast("array<string>")).alias("value")), path)
+    _write_points(D.points(spark, d), path)
     back = files.read_points(spark, path)
     return back.select(F.col("id").cast("long").alias("id"), F.size("features").alias("d"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+def source_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of chunk files in the order of their names: points and ids of each chunk."""
+    path, names = _folder(spark, "chunks"), {}
+    _write_points(D.points(spark, d).repartition(3, "id"), path)
+    for r in files.read_points(spark, path).select("file").distinct().orderBy("file").collect():
+        names[r.file] = len(names)
+    back = files.read_chunks(spark, path)
+    right = files.read_points(spark, path).select("id", F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("file")).alias("place"))
+    return back.join(right, "id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk").alias("n_chunks"), F.count_if(F.col("chunk") != F.col("place")).alias("n_wrong"))
+
+
+def source_words(spark: SparkSession, d: str) -> DataFrame:
+    """A list of stop words from a file, one per line, and the reviews' words without them."""
+    path = _folder(spark, "words")
+    files.write_lines(spark.createDataFrame([(w,) for w in S.STOP_WORDS], "value string"), path)
+    return basic.top_words(D.reviews(spark, d), "text", 20, files.read_words(spark, path))
+
+
+def source_run_time(spark: SparkSession, d: str) -> DataFrame:
+    """The run-time file of a count: its key, and whether the time is one."""
+    path = _folder(spark, "time")
+    _, took = files.timed(lambda: D.reviews(spark, d).count())
+    files.write_run_time(spark, path, took)
+    return files.read_json_lines(spark, path, "time double").select(F.lit("time").alias("name"), (F.col("time") > 0).alias("positive"))
+
+
 def queries() -> dict:
     count = lambda f: lambda spark, d: f(D.reviews(spark, d))
     return {
@@ -447,6 +507,7 @@ def queries() -> dict:
         "facts_document": facts_document,
         "category_means": lambda spark, d: category_means(spark, d).withColumn("mean", F.round("mean", 6)),
         "category_top": category_top,
+        "category_document": category_document,
         "business_counts": count(lambda r: basic.group_counts(r, "business_id", above=4)),
         "partition_buckets": partition_buckets,
         "partition_hash_sizes": partition_hash_sizes,
@@ -481,6 +542,7 @@ def queries() -> dict:
         "lsh_pairs": lsh_pairs,
         "item_model": item_model,
         "item_model_strict": item_model_strict,
+        "item_model_directed": item_model_directed,
         "neighbour_predictions": neighbour_predictions,
         "user_neighbour_predictions": user_neighbour_predictions,
         "stored_model_predictions": stored_model_predictions,
@@ -511,10 +573,16 @@ def queries() -> dict:
         "chunk_labels": chunk_labels,
         "chunk_rounds": chunk_rounds,
         "chunk_label_lines": chunk_label_lines,
+        "chunk_label_map": chunk_label_map,
+        "chunk_rounds_csv": chunk_rounds_csv,
+        "chunk_stream": chunk_stream,
         "source_json": source_json,
         "source_csv": source_csv,
         "source_model": source_model,
         "source_points": source_points,
+        "source_chunks": source_chunks,
+        "source_words": source_words,
+        "source_run_time": source_run_time,
     }
 
 

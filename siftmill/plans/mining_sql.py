@@ -37,11 +37,11 @@ def _levels(entries: str, support: str, keys: str = "", top: int = 9) -> str:
     """Frequent itemsets by plain counting of all sets of up to ``top`` frequent items."""
     k = f"{keys}, " if keys else ""
     on = "x.basket = y.basket"
-    out = f"WITH RECURSIVE e AS ({entries}), f AS (SELECT {k}item FROM e GROUP BY {k}item HAVING count(*) >= {support}), g AS (SELECT e.* FROM e SEMI JOIN f USING ({k}item)), l1 AS (SELECT {k}basket, [item] AS s, item AS z FROM g)"
+    out = f"WITH RECURSIVE e AS MATERIALIZED ({entries}), f AS (SELECT {k}item FROM e GROUP BY {k}item HAVING count(*) >= {support}), g AS MATERIALIZED (SELECT e.* FROM e SEMI JOIN f USING ({k}item)), l1 AS (SELECT {k}basket, [item] AS s, item AS z FROM g)"
     for n in range(2, top + 1):
         x = ", ".join(f"x.{c.strip()}" for c in keys.split(",")) + ", " if keys else ""
-        out += f", a{n} AS (SELECT {x}x.basket, list_append(x.s, y.item) AS s, y.item AS z FROM l{n - 1} x JOIN g y ON {on} AND y.item > x.z)"
-        out += f", c{n} AS (SELECT {k}s FROM a{n} GROUP BY {k}s HAVING count(*) >= {support}), l{n} AS (SELECT a{n}.* FROM a{n} SEMI JOIN c{n} USING ({k}s))"
+        out += f", a{n} AS MATERIALIZED (SELECT {x}x.basket, list_append(x.s, y.item) AS s, y.item AS z FROM l{n - 1} x JOIN g y ON {on} AND y.item > x.z)"
+        out += f", c{n} AS (SELECT {k}s FROM a{n} GROUP BY {k}s HAVING count(*) >= {support}), l{n} AS MATERIALIZED (SELECT a{n}.* FROM a{n} SEMI JOIN c{n} USING ({k}s))"
     return out + " " + " UNION ALL ".join(f"SELECT {k}array_to_string(s, ',') AS itemset, len(s) AS k, count(*) AS support FROM l{n} GROUP BY {k}s" for n in range(1, top + 1))
 
 
@@ -53,10 +53,10 @@ BUCKETED = f"SELECT x.chunk, x.item, y.item AS other, (CAST(x.item AS BIGINT) +
 # Similarity.
 SETS = f"SELECT DISTINCT business_id AS id, user_id AS t FROM {REVIEW} WHERE business_id IS NOT NULL AND user_id IS NOT NULL"
 OVERLAP = "SELECT x.id AS a, y.id AS b, count(*) AS n FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY 1, 2"
-BIG = f"e AS (SELECT * FROM ({SETS}) SEMI JOIN (SELECT id FROM ({SETS}) GROUP BY 1 HAVING count(*) >= 5) USING (id)), n AS (SELECT id, count(*) AS n FROM e GROUP BY 1)"
+ALL = f"e AS MATERIALIZED ({SETS}), n AS (SELECT id, count(*) AS n FROM e GROUP BY 1)"
 HASHES = ", ".join(f"({h}, {a}, {b})" for h, (a, b) in enumerate(hash_family(BANDS * ROWS)))
 SIGS = f"""i AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS x FROM (SELECT DISTINCT t FROM ({SETS}))), h(h, a, b) AS (VALUES {HASHES}),
-  m AS (SELECT id, h, min((a * x + b) % {PRIME}) AS v FROM e JOIN i USING (t), h GROUP BY 1, 2)"""
+  m AS MATERIALIZED (SELECT id, h, min((a * x + b) % {PRIME}) AS v FROM e JOIN i USING (t), h GROUP BY 1, 2)"""
 MET = f"k AS (SELECT id, h // {ROWS} AS band, list(v ORDER BY h) AS bucket FROM m GROUP BY 1, 2), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id)"
 
 
@@ -111,9 +111,32 @@ CELLS = f"(SELECT label, chunk, id, unnest(f) AS x, CAST(generate_subscripts(f,
 
 SWAPPED = lambda t: f'(SELECT item AS "user", "user" AS item FROM {t})'
 SWAPPED_RATINGS = f'(SELECT item AS "user", "user" AS item, stars FROM {RATINGS})'
-RULES = f"""WITH a AS ({_levels(ENTRIES, str(SUPPORT))}), i AS (SELECT string_split(itemset, ',') AS s, support FROM a), n AS (SELECT count(DISTINCT u) AS n FROM {UB})
-  SELECT array_to_string(ante, ',') AS antecedent, item, r.support, round(r.support / x.support, 6) AS confidence, round(r.support / x.support * n.n / y.support, 6) AS lift
-  FROM (SELECT list_filter(s, lambda z: z <> item) AS ante, item, support FROM (SELECT s, support, unnest(s) AS item FROM i WHERE len(s) > 1)) r JOIN i x ON x.s = r.ante JOIN i y ON y.s = [r.item], n"""
+RULES = f"""WITH a AS MATERIALIZED ({_levels(ENTRIES, str(SUPPORT))}), n AS (SELECT count(DISTINCT u) AS n FROM {UB}),
+  r AS (SELECT array_to_string(list_filter(string_split(itemset, ','), lambda z: z <> item), ',') AS antecedent, item, support FROM (SELECT itemset, support, unnest(string_split(itemset, ',')) AS item FROM a WHERE k > 1))
+  SELECT antecedent, r.item, r.support, round(r.support / x.support, 6) AS confidence, round(r.support / x.support * n.n / y.support, 6) AS lift
+  FROM r JOIN a x ON x.itemset = r.antecedent JOIN a y ON y.itemset = r.item, n"""
+DIRECTED = f"""WITH r AS MATERIALIZED (SELECT * FROM {RATINGS}), c AS (SELECT DISTINCT r.item AS nb, t.item FROM {TEST} t JOIN r USING ("user")),
+  s AS (SELECT c.nb, c.item, count(*) AS n, sum(x.stars) AS sx, sum(y.stars) AS sy, sum(x.stars * y.stars) AS sxy, sum(x.stars * x.stars) AS sxx, sum(y.stars * y.stars) AS syy
+    FROM (SELECT nb, item FROM c SEMI JOIN (SELECT item FROM r GROUP BY 1 HAVING count(*) >= 175) b ON b.item = c.nb) c JOIN r x ON x.item = c.nb JOIN r y ON y.item = c.item AND y."user" = x."user" GROUP BY 1, 2 HAVING count(*) >= 175)
+  SELECT nb, item, n, round((sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)), 6) AS sim FROM s
+  WHERE sxx - sx * sx / n > 1e-9 AND syy - sy * sy / n > 1e-9 AND (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) > 0"""
+
+
+# k-means from farthest-first centres, k = 10. The rounds are unrolled; after the fixpoint they change nothing.
+def _farthest_sql(k: int = 10) -> str:
+    out = f"p AS MATERIALIZED (SELECT id, f FROM {POINTS}), c0 AS MATERIALIZED (SELECT 0 AS i, f AS c FROM p ORDER BY id LIMIT 1), d0 AS MATERIALIZED (SELECT id, p.f, list_distance(p.f, c) AS d FROM p, c0)"
+    for i in range(1, k):
+        out += f", c{i} AS MATERIALIZED (SELECT {i} AS i, f AS c FROM d{i - 1} ORDER BY d DESC, id LIMIT 1), d{i} AS MATERIALIZED (SELECT id, x.f, least(d, list_distance(x.f, c)) AS d FROM d{i - 1} x, c{i})"
+    return out + ", k0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT i, c FROM c{i}" for i in range(k)) + ")"
+
+
+def _lloyd_sql(rounds: int) -> str:
+    out = _farthest_sql()
+    for r in range(1, rounds + 1):
+        out += f""", a{r} AS MATERIALIZED (SELECT f, i FROM (SELECT f, i, row_number() OVER (PARTITION BY id ORDER BY list_distance(f, c), i) AS r FROM p, k{r - 1}) WHERE r = 1),
+  m{r} AS (SELECT i, list(x ORDER BY dim) AS c FROM (SELECT i, dim, avg(x) AS x FROM (SELECT i, unnest(f) AS x, generate_subscripts(f, 1) AS dim FROM a{r}) GROUP BY 1, 2) GROUP BY 1),
+  k{r} AS MATERIALIZED (SELECT i, coalesce(m{r}.c, k{r - 1}.c) AS c FROM k{r - 1} LEFT JOIN m{r} USING (i))"""
+    return out
 
 
 def statements() -> dict[str, str]:
@@ -129,6 +152,19 @@ def statements() -> dict[str, str]:
         "top_words": f"SELECT * FROM {WORDS} ORDER BY n DESC, word LIMIT 10",
         "category_means": f"SELECT category, round(mean, 6) AS mean, n FROM {MEANS}",
         "category_top": f"SELECT category, round(mean, 6) AS mean FROM {MEANS} ORDER BY mean DESC, category LIMIT 10",
+        "category_document": f"""SELECT '{{"result":[' || string_agg('[' || to_json(category) || ',' || mean || ']', ',' ORDER BY mean DESC, category) || ']}}' AS value
+  FROM (SELECT category, round(mean, 6) AS mean FROM {MEANS} ORDER BY mean DESC, category LIMIT 10)""",
+        "facts_document": f"""SELECT '{{"reviews":[{{"n":' || (SELECT count(*) FROM review) || '}}],"in_year":[{{"n":' || (SELECT count(*) FROM review WHERE substr(date, 1, 4) = '{YEAR}') || '}}],"users":[{{"n":' || (SELECT count(DISTINCT user_id) FROM {REVIEW})
+  || '}}],"top_users":[' || (SELECT string_agg('{{"user_id":' || to_json(user_id) || ',"n":' || n || '}}', ',' ORDER BY n DESC, user_id) FROM (SELECT user_id, count(*) AS n FROM {REVIEW} WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10))
+  || '],"top_words":[' || (SELECT string_agg('{{"word":' || to_json(word) || ',"n":' || n || '}}', ',' ORDER BY n DESC, word) FROM (SELECT * FROM {WORDS} ORDER BY n DESC, word LIMIT 10)) || ']}}' AS value""",
+        "source_words": f"SELECT * FROM {WORDS} ORDER BY n DESC, word LIMIT 20",
+        "source_run_time": "SELECT 'time' AS name, true AS positive",
+        "source_chunks": f"SELECT count(*) AS n, CAST(3 AS BIGINT) AS n_chunks, CAST(0 AS BIGINT) AS n_wrong FROM {POINTS}",
+        "item_model_directed": DIRECTED,
+        "first_centres": f"WITH {_farthest_sql()} SELECT CAST(i AS INT) AS centre, CAST(dim AS INT) AS dim, round(x, 6) AS x FROM (SELECT i, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS dim FROM k0)",
+        "kmeans": f"WITH {_lloyd_sql(60)} SELECT id, CAST(i AS INT) AS cluster FROM (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY list_distance(f, c), i) AS r FROM p, k60) WHERE r = 1",
+        "graph_edge_lines": PATHS + """, b AS (SELECT g.a, g.b, round(sum(s.sigma * t.sigma / w.sigma) / 2, 4) AS score FROM l JOIN g ON g.a = least(l.src, l.dst) AND g.b = greatest(l.src, l.dst)
+  JOIN q s ON s.node = l.src JOIN q t ON t.root = l.dst JOIN q w ON w.root = s.root AND w.node = t.node AND w.level = s.level + 1 + t.level GROUP BY 1, 2) SELECT '(' || chr(39) || a || chr(39) || ', ' || chr(39) || b || chr(39) || '), ' || score AS value FROM b""",
         "business_counts": f"SELECT business_id, count(*) AS n FROM {REVIEW} WHERE business_id IS NOT NULL GROUP BY 1 HAVING count(*) > 4",
         "partition_random_counts": f"SELECT business_id, count(*) AS n FROM {REVIEW} WHERE business_id IS NOT NULL GROUP BY 1 HAVING count(*) > 4",
         "partition_buckets": "SELECT CAST(p AS INT) AS partition, count(doc_id) AS n FROM range(27) t(p) LEFT JOIN documents ON doc_id % 27 = p GROUP BY 1",
@@ -152,21 +188,16 @@ def statements() -> dict[str, str]:
   GROUP BY chunk, item, other, local_support HAVING count(*) >= local_support""",
         "triple_candidates": f"""WITH e AS ({ENTRIES}), p AS (SELECT x.item AS a, y.item AS b FROM e x JOIN e y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {SUPPORT})
   SELECT x.a || ',' || x.b || ',' || y.b AS itemset FROM p x JOIN p y ON x.a = y.a AND x.b < y.b SEMI JOIN p z ON z.a = x.b AND z.b = y.b""",
-        "local_candidates": f"""WITH e AS ({CHUNKED}), s AS {SUPPORTS.format(s=4 * SUPPORT, e=CHUNKED)},
-  o AS (SELECT chunk, [item] AS s, count(*) AS n FROM e GROUP BY 1, 2 UNION ALL
-    SELECT x.chunk, [x.item, y.item], count(*) FROM e x JOIN e y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 UNION ALL
-    SELECT x.chunk, [x.item, y.item, z.item], count(*) FROM e x JOIN e y ON x.basket = y.basket AND x.item < y.item JOIN e z ON z.basket = x.basket AND y.item < z.item GROUP BY 1, 2)
-  SELECT DISTINCT array_to_string(o.s, ',') AS itemset FROM o JOIN s USING (chunk) WHERE n >= local_support""",
         "frequent_itemsets": joined(_levels(ENTRIES, str(SUPPORT))),
         "two_phase_itemsets": joined(_levels(ENTRIES, str(SUPPORT))),
         "itemsets_by_business": joined(_levels(f"SELECT b AS basket, u AS item FROM {UB}", str(SUPPORT))),
         "itemsets_by_length": f"SELECT CAST(k AS INT) AS k, count(*) AS n, string_agg(itemset, ';' ORDER BY string_split(itemset, ',')) AS itemsets FROM ({_levels(ENTRIES, str(SUPPORT))}) GROUP BY 1",
         "association_rules": RULES,
         "overlapping_pairs": f"WITH e AS ({SETS}) SELECT * FROM ({OVERLAP}) WHERE n >= {CO_RATED}",
-        "jaccard_pairs": f"WITH {BIG} SELECT a, b, round(o.n / (x.n + y.n - o.n), 6) AS sim FROM ({OVERLAP}) o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE o.n * 4 >= x.n + y.n",
-        "minhash_signatures": f"WITH {BIG}, {SIGS} SELECT id, string_agg(v, ',' ORDER BY h) AS sig FROM m GROUP BY 1",
-        "lsh_candidates": f"WITH {BIG}, {SIGS}, {MET} SELECT a, b FROM c",
-        "lsh_pairs": f"WITH {BIG}, {SIGS}, {MET} SELECT a, b, round(o.n / (x.n + y.n - o.n), 6) AS sim FROM ({OVERLAP}) o JOIN n x ON x.id = a JOIN n y ON y.id = b SEMI JOIN c USING (a, b) WHERE o.n * 4 >= x.n + y.n",
+        "jaccard_pairs": f"WITH {ALL} SELECT a, b, round(o.n / (x.n + y.n - o.n), 6) AS sim FROM ({OVERLAP}) o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE o.n * 11 >= x.n + y.n",
+        "minhash_signatures": f"WITH {ALL}, {SIGS} SELECT id, string_agg(v, ',' ORDER BY h) AS sig FROM m GROUP BY 1",
+        "lsh_candidates": f"WITH {ALL}, {SIGS}, {MET} SELECT a, b FROM c",
+        "lsh_pairs": f"WITH {ALL}, {SIGS}, {MET} SELECT a, b, round(o.n / (x.n + y.n - o.n), 6) AS sim FROM ({OVERLAP}) o JOIN n x ON x.id = a JOIN n y ON y.id = b SEMI JOIN c USING (a, b) WHERE o.n * 11 >= x.n + y.n",
         "item_model": f"SELECT b1, b2, n, round(sim, 6) AS sim FROM ({_model(RATINGS, CO_RATED, '0.1')})",
         "item_model_strict": f"SELECT b1, b2, n, round(sim, 6) AS sim FROM ({_model(RATINGS, 2 * CO_RATED, '0')})",
         "neighbour_predictions": f'SELECT "user", item, round(stars, 6) AS stars, rule FROM ({_predicted(TEST, RATINGS, _model(RATINGS, CO_RATED, "0.1"))})',

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -60,13 +60,35 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Adds rows to the CSV files in ``path``; every file begins with the header, which ``read_csv`` drops again."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def write_run_time(spark: SparkSession, path: str, took: dict[str, float]) -> None:
+    """One JSON object of a run time in seconds, as ``timed`` gives it."""
+    spark.createDataFrame([(float(took["time"]),)], "time double").write.mode("overwrite").json(path)
+
+
+def pair_document(rows: DataFrame, key: str, value: str, *order: Column | str) -> DataFrame:
+    """One JSON object {"result": [[key, value], ...]} of a report of bounded size, in the given order."""
+    pair = F.concat(F.expr(f"regexp_replace(to_json(array(`{key}`)), ']$', ',')"), F.to_json(F.array(F.col(value))).substr(F.lit(2), F.lit(1 << 30)))
+    place = F.row_number().over(Window.orderBy(*order))
+    listed = rows.select(place.alias("at"), pair.alias("pair")).agg(F.array_sort(F.collect_list(F.struct("at", "pair")))["pair"].alias("all"))
+    return listed.select(F.concat(F.lit('{"result":['), F.array_join("all", ","), F.lit("]}")).alias("value"))
+
+
 def document(spark: SparkSession, **parts: DataFrame | object) -> DataFrame:
     """One JSON object of named results: scalars as they are, tables (reports of bounded size) as lists of rows."""
     out = spark.range(1).select(F.lit(1).alias("_one"))
     for name, part in parts.items():
         if isinstance(part, DataFrame):
             rows = part.agg(F.collect_list(F.struct(*part.columns)).alias(name)).withColumn("_one", F.lit(1))
-            out = out.join(F.broadcast(rows), "_one")
+            out = out.join(rows, "_one")
         else:
             out = out.withColumn(name, F.lit(part))
     return out.select(F.to_json(F.struct(*parts)).alias("value"))
@@ -88,6 +110,19 @@ def point_map(labels: DataFrame) -> DataFrame:
     return labels.select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), "cluster")).alias("value"))
 
 
+def point_map_lines(labels: DataFrame) -> DataFrame:
+    """One JSON object id -> cluster (-1: in none) as ordered lines (value): concatenated they are the document.
+
+    The lines are sorted, not gathered, so the map may be of any size; without points it is empty.
+    """
+    rows = labels.select(F.lit(1).alias("part"), F.col("id"), F.concat(F.regexp_extract(F.to_json(F.struct(F.col("id").cast("string").alias("id"))), r":(.*)\}$", 1), F.lit(": "), F.col("cluster").cast("string")).alias("line"))
+    least = labels.agg(F.min("id")).first()[0]
+    rows = rows.withColumn("line", F.concat(F.when(F.col("id") == F.lit(least), "").otherwise(","), "line"))
+    kind = dict(rows.dtypes)["id"]
+    ends = labels.sparkSession.createDataFrame([(0, "{"), (2, "}")], "part int, line string").select("part", F.lit(None).cast(kind).alias("id"), "line")
+    return rows.unionByName(ends).orderBy("part", "id").select(F.col("line").alias("value"))
+
+
 def timed(run: Callable[[], object]) -> tuple[object, dict[str, float]]:
     """The result of ``run`` and its run time in seconds."""
     at = time.perf_counter()
