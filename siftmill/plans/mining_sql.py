@@ -33,15 +33,16 @@ MEANS = f"""(SELECT category, sum(s) / sum(c) AS mean, CAST(sum(c) AS BIGINT) AS
   (SELECT business_id, sum(stars) AS s, count(stars) AS c FROM {REVIEW} GROUP BY 1) USING (business_id) GROUP BY 1 HAVING sum(c) > 0)"""
 
 # Itemsets: baskets e(basket, item); levels unrolled; up to sf0.1 there is none beyond the seventh.
-def _levels(entries: str, support: str, keys: str = "", top: int = 9) -> str:
-    """Frequent itemsets by plain counting of all sets of up to ``top`` frequent items."""
+def _levels(entries: str, support: str, keys: str = "", top: int = 9, limits: str = "") -> str:
+    """Frequent itemsets by plain counting of all sets of up to ``top`` frequent items; ``limits`` are supports by key."""
     k = f"{keys}, " if keys else ""
-    on = "x.basket = y.basket"
-    out = f"WITH RECURSIVE e AS MATERIALIZED ({entries}), f AS (SELECT {k}item FROM e GROUP BY {k}item HAVING count(*) >= {support}), g AS MATERIALIZED (SELECT e.* FROM e SEMI JOIN f USING ({k}item)), l1 AS (SELECT {k}basket, [item] AS s, item AS z FROM g)"
+    with_limit = f" JOIN limits USING ({keys})" if limits else ""
+    first = f"limits AS MATERIALIZED ({limits}), " if limits else ""
+    out = f"WITH RECURSIVE {first}e AS MATERIALIZED ({entries}), f AS (SELECT {k}item FROM e{with_limit} GROUP BY {k}item HAVING count(*) >= {support}), g AS MATERIALIZED (SELECT e.* FROM e SEMI JOIN f USING ({k}item)), l1 AS (SELECT {k}basket, [item] AS s, item AS z FROM g)"
     for n in range(2, top + 1):
         x = ", ".join(f"x.{c.strip()}" for c in keys.split(",")) + ", " if keys else ""
-        out += f", a{n} AS MATERIALIZED (SELECT {x}x.basket, list_append(x.s, y.item) AS s, y.item AS z FROM l{n - 1} x JOIN g y ON {on} AND y.item > x.z)"
-        out += f", c{n} AS (SELECT {k}s FROM a{n} GROUP BY {k}s HAVING count(*) >= {support}), l{n} AS MATERIALIZED (SELECT a{n}.* FROM a{n} SEMI JOIN c{n} USING ({k}s))"
+        out += f", a{n} AS MATERIALIZED (SELECT {x}x.basket, list_append(x.s, y.item) AS s, y.item AS z FROM l{n - 1} x JOIN g y ON x.basket = y.basket AND y.item > x.z)"
+        out += f", c{n} AS (SELECT {k}s FROM a{n}{with_limit} GROUP BY {k}s HAVING count(*) >= {support}), l{n} AS MATERIALIZED (SELECT a{n}.* FROM a{n} SEMI JOIN c{n} USING ({k}s))"
     return out + " " + " UNION ALL ".join(f"SELECT {k}array_to_string(s, ',') AS itemset, len(s) AS k, count(*) AS support FROM l{n} GROUP BY {k}s" for n in range(1, top + 1))
 
 
@@ -188,6 +189,7 @@ def statements() -> dict[str, str]:
   GROUP BY chunk, item, other, local_support HAVING count(*) >= local_support""",
         "triple_candidates": f"""WITH e AS ({ENTRIES}), p AS (SELECT x.item AS a, y.item AS b FROM e x JOIN e y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {SUPPORT})
   SELECT x.a || ',' || x.b || ',' || y.b AS itemset FROM p x JOIN p y ON x.a = y.a AND x.b < y.b SEMI JOIN p z ON z.a = x.b AND z.b = y.b""",
+        "local_candidates": f"SELECT DISTINCT itemset FROM ({_levels(CHUNKED, 'any_value(local_support)', 'chunk', 18, f'SELECT chunk, local_support FROM {SUPPORTS.format(s=SUPPORT, e=CHUNKED)}')})",
         "frequent_itemsets": joined(_levels(ENTRIES, str(SUPPORT))),
         "two_phase_itemsets": joined(_levels(ENTRIES, str(SUPPORT))),
         "itemsets_by_business": joined(_levels(f"SELECT b AS basket, u AS item FROM {UB}", str(SUPPORT))),

@@ -136,6 +136,17 @@ def test_correlation(spark, ratings):
     assert got == want
 
 
+def test_directed_model_by_hand(spark, ratings):
+    rows, df = ratings
+    model = {(r.b1, r.b2): r.sim for r in similarity.correlated_items(df, co_rated=5, above=0.0).collect()}
+    pairs = spark.createDataFrame([("u1", "i1"), ("u2", "i1"), ("u2", "new"), ("u1", "i1")], "user string, item string")
+    raters = Counter(i for _, i in rows)
+    want = {(nb, "i1"): model.get((min(nb, "i1"), max(nb, "i1"))) for u in ("u1", "u2") for x, nb in rows if x == u and nb != "i1"}
+    want = {k: v for k, v in want.items() if v is not None} | ({("i1", "i1"): 1.0} if raters["i1"] >= 5 and any((u, "i1") in rows for u in ("u1", "u2")) else {})
+    got = {(r.nb, r["item"]): r.sim for r in similarity.directed_model(pairs, df, co_rated=5).collect()}
+    assert got == pytest.approx(want) and want
+
+
 def test_cold_start_rules(spark, ratings):
     rows, df = ratings
     model = similarity.correlated_items(df, co_rated=3)
@@ -297,7 +308,7 @@ def test_close_summaries_merge(spark):
 
     sets = [made(0, 0), made(1, 100), made(2, 0.1), made(3, 100.1), made(4, 0.2), made(5, -500)]
     moved = cluster.merge_close(sets)
-    assert [s.key for s in sets] == [0, 1, 5] and moved == {2: 0, 4: 0, 3: 1} or {s.n for s in sets} == {60, 40, 20}
+    assert [(s.key, s.n) for s in sets] == [(0, 60), (1, 40), (5, 20)] and moved == {2: 0, 4: 0, 3: 1}
     assert cluster.merge_close(sets) == {} and cluster.merge_close([]) == {}
 
 
@@ -336,3 +347,18 @@ def test_files_round_trip(spark, tmp_path, blobs):
     scored = files.edge_lines(spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0)], "a string, b string, score double"))
     assert [r.value for r in scored.collect()] == ["('a', 'c'), 2.0", "('a', 'b'), 1.0"]
     assert files.timed(lambda: 1)[1]["time"] >= 0
+    files.write_run_time(spark, str(tmp_path / "time"), {"time": 1.5})
+    assert spark.read.json(str(tmp_path / "time")).collect() == [(1.5,)]
+    rows = spark.createDataFrame([('a "q"', 4.5), ("b", 5.0)], "k string, v double")
+    assert files.pair_document(rows, "k", "v", F.desc("v"), "k").first().value == '{"result":[["b",5.0],["a \\"q\\"",4.5]]}'
+    assert files.pair_document(rows.limit(0), "k", "v", "k").first().value == '{"result":[]}'
+    import json
+
+    labels = spark.createDataFrame([(i, i % 3 - 1) for i in range(50)], "id long, cluster int").repartition(4)
+    assert json.loads("\n".join(r.value for r in files.point_map_lines(labels).collect())) == {str(i): i % 3 - 1 for i in range(50)}
+    assert json.loads("".join(r.value for r in files.point_map_lines(labels.limit(0)).collect())) == {}
+    for n in (1, 2):
+        files.append_csv(spark.createDataFrame([(n, "x")], "round int, t string"), str(tmp_path / "rounds"))
+    assert sorted(files.read_csv(spark, str(tmp_path / "rounds"), "round int, t string").collect()) == [(1, "x"), (2, "x")]
+    again = cluster.cluster_chunks(df, k=3, max_rounds=20, rounds_path=str(tmp_path / "stats"))
+    assert sorted(files.read_csv(spark, str(tmp_path / "stats"), cluster.ROUNDS).collect()) == again.rounds(spark).collect()
