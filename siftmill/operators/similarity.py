@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.scalars import universal_hash
-from siftmill.session import dense_codes, materialise
+from siftmill.session import dense_codes, discard, materialise, small
 
 #: Modulus of the hash family: a prime above any dense user index in use; products stay within bigint.
 PRIME = 2_147_483_647
@@ -16,6 +16,8 @@ PRIME = 2_147_483_647
 
 #: Sets of more tokens than this are never gathered into an array; their overlaps are counted relationally.
 ARRAY = 4_096
+#: Members of a class of equal sets that are paired in one group; larger classes are paired block by block.
+CLASS_BLOCK = 1_000
 
 
 def ranked_tokens(df: DataFrame, owner: str, token: str, *, least: int = 1) -> DataFrame:
@@ -44,25 +46,61 @@ def _with_giants(coded: DataFrame, array: int, fits: str) -> DataFrame:
     return n.select(pick("i", "j").alias("a"), pick("j", "i").alias("b"), pick("n_i", "n_j").alias("n_a"), pick("n_j", "n_i").alias("n_b"), "n_ab")
 
 
-def _pairs(coded: DataFrame, prefix: str, fits: str, room: str, array: int) -> DataFrame:
-    """Pairs a < b that share one of their ``prefix`` rarest tokens and meet ``fits``, with their overlap.
+def equal_classes(coded: DataFrame, array: int = ARRAY) -> DataFrame:
+    """(id, head, n, k) of the sets that equal another one, of at most ``array`` tokens; the head is the least id."""
+    sets = materialise(coded.where(F.col("n") <= array).groupBy("id", "n").agg(F.sort_array(F.collect_list("code")).alias("x")))
+    equal = sets.groupBy("n", "x").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = materialise(sets.join(equal, ["n", "x"]).select("id", "head", "n", "k"))
+    discard(sets)
+    return members
+
+
+def pairs_within(members: DataFrame, block: int = CLASS_BLOCK) -> DataFrame:
+    """Pairs i < j of the members (id, head, n, k) of each class, with n. A pair is made in the group of its two blocks,
+    so a class of any size is spread over many groups of bounded size."""
+    m = members.withColumn("blocks", F.ceil(F.col("k") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    l = m.select("head", F.col("id").alias("i"), "n", F.col("own").alias("x"), every.alias("y"))
+    r = m.select("head", F.col("id").alias("j"), every.alias("x"), F.col("own").alias("y"))
+    return l.join(r, ["head", "x", "y"]).where("i < j").select("i", "j", "n")
+
+
+def _expanded(alike: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, n_ab) of heads, and the pairs of all their members, among themselves too."""
+    if members.isEmpty():
+        return alike
+    other = members.where("id <> head")
+    for side in ("a", "b"):
+        m = other.select(F.col("head").alias(side), F.col("id").alias("_m"))
+        alike = materialise(alike.unionByName(alike.join(m, side).drop(side).withColumnRenamed("_m", side)))
+    first = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    ordered = alike.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "n_ab")
+    same = pairs_within(members).select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").cast("long").alias("n_ab"))
+    return ordered.unionByName(same)
+
+
+def _pairs(coded: DataFrame, prefix: str, fits: str, room: str, array: int, kept: str) -> DataFrame:
+    """Pairs a < b that share one of their ``prefix`` rarest tokens, meet ``fits`` and are ``kept``, with their overlap.
 
     Tokens that occur in many sets come last in every set, so long inverted lists take part only where a set has
-    hardly any other tokens.
+    hardly any other tokens. Equal sets take part as one and are expanded at the end; so ``kept`` must hold for them.
     """
-    ranked = coded.where(F.col("n") <= array).groupBy("id", "n").agg(F.sort_array(F.collect_list("code")).alias("x"))
-    heads = ranked.select("id", "n", F.posexplode(F.expr(f"slice(x, 1, {prefix})")).alias("at", "code"))
-    l, r = heads.alias("l"), heads.alias("r")
+    members = equal_classes(coded, array)
+    heads = coded.join(small(members.where("id <> head").select("id")), "id", "left_anti")
+    ranked = heads.where(F.col("n") <= array).groupBy("id", "n").agg(F.sort_array(F.collect_list("code")).alias("x"))
+    begun = ranked.select("id", "n", F.posexplode(F.expr(f"slice(x, 1, {prefix})")).alias("at", "code"))
+    l, r = begun.alias("l"), begun.alias("r")
     met = l.join(r, (F.col("l.code") == F.col("r.code")) & (F.col("l.id") < F.col("r.id")) & F.expr(f"{fits} and {room}"))
-    out = _overlaps(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), coded, array)
-    return out.unionByName(_with_giants(coded, array, fits)) if coded.where(F.col("n") > array).limit(1).count() else out
+    out = _expanded(_overlaps(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), heads, array).where(kept), members)
+    return out.unionByName(_with_giants(coded, array, fits).where(kept)) if coded.where(F.col("n") > array).limit(1).count() else out
 
 
 def overlapping_pairs(df: DataFrame, owner: str, token: str, least: int, *, array: int = ARRAY) -> DataFrame:
     """Pairs a < b of owners with at least ``least`` common tokens, without comparing all owners."""
     coded = ranked_tokens(df, owner, token, least=least)
     room = f"(1 + least(l.n - 1 - l.at, r.n - 1 - r.at)) >= {least}"
-    return _pairs(coded, f"n - {least - 1}", "true", room, array).where(F.col("n_ab") >= least)
+    return _pairs(coded, f"n - {least - 1}", "true", room, array, f"n_ab >= {least}")
 
 
 def jaccard_pairs(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 10, least: int = 1, array: int = ARRAY) -> DataFrame:
@@ -70,11 +108,15 @@ def jaccard_pairs(df: DataFrame, owner: str, token: str, *, num: int = 1, den: i
     coded = ranked_tokens(df, owner, token, least=least)
     fits = f"l.n * {den} >= r.n * {num} and r.n * {den} >= l.n * {num}"
     room = f"(1 + least(l.n - 1 - l.at, r.n - 1 - r.at)) * {num + den} >= (l.n + r.n) * {num}"
-    return _with_similarity(_pairs(coded, f"n - cast(({num} * n + {den - 1}) div {den} as int) + 1", fits, room, array), num, den)
+    return _with_similarity(_pairs(coded, f"n - cast(({num} * n + {den - 1}) div {den} as int) + 1", fits, room, array, _similar(num, den)))
+
 
+def _similar(num: int, den: int) -> str:
+    return f"n_ab * {num + den} >= (n_a + n_b) * {num}"
 
-def _with_similarity(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    return pairs.where(F.col("n_ab") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).withColumn("sim", F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab")))
+
+def _with_similarity(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("sim", F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab")))
 
 
 def hash_family(n: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -103,23 +145,39 @@ def lsh_candidates(buckets: DataFrame) -> DataFrame:
 
 
 def lsh_pairs(df: DataFrame, owner: str, token: str, *, num: int = 1, den: int = 10, bands: int = 50, rows: int = 2, seed: int = 42, least: int = 1, array: int = ARRAY) -> DataFrame:
-    """Banded min-hash join, verified exactly: no false pairs; a pair of similarity s is found with 1-(1-s^rows)^bands."""
-    sigs = materialise(signatures(df, owner, token, bands * rows, seed=seed, least=least))
-    met = lsh_candidates(band_buckets(sigs, bands, rows))
+    """Banded min-hash join, verified exactly: no false pairs; a pair of similarity s is found with 1-(1-s^rows)^bands.
+
+    Equal sets have one signature and take part as one, so a bucket holds no copies; they are expanded at the end.
+    """
     coded = ranked_tokens(df, owner, token, least=least)
-    big = coded.where(F.col("n") > array).select("id").distinct()
-    counted = _overlaps(met, coded, array)
+    members = equal_classes(coded, array)
+    copies = small(members.where("id <> head").select("id"))
+    heads = materialise(coded.join(copies, "id", "left_anti"))
+    own = df.select(F.col(owner).alias("id"), F.col(token).alias("t")).dropna()
+    sigs = materialise(signatures(own, "id", "t", bands * rows, seed=seed, least=least).join(copies, "id", "left_anti"))
+    met = lsh_candidates(band_buckets(sigs, bands, rows))
+    counted = _overlaps(met, heads, array)
+    big = materialise(heads.where(F.col("n") > array).select("id").distinct())
+    counted = _expanded(counted.where(_similar(num, den)), members)
     if not big.isEmpty():
-        # Candidates with a set too large to gather: only their own tokens are counted.
-        far = met.join(big, met["a"] == big["id"], "left_semi").unionAll(met.join(big, met["b"] == big["id"], "left_semi")).distinct()
-        counted = counted.unionByName(_with_giants(coded, array, "true").join(far, ["a", "b"], "left_semi"))
-    return _with_similarity(counted, num, den)
+        # Candidates with a set too large to gather: only their own tokens are counted. Copies of the other side follow.
+        met = materialise(met)
+        if not members.isEmpty():
+            other = members.where("id <> head")
+            for side, far in (("a", "b"), ("b", "a")):
+                m = other.select(F.col("head").alias(side), F.col("id").alias("_m"))
+                met = met.unionByName(met.join(m, side).select(F.col("_m").alias(side), far))
+            met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        far = met.join(big.select(F.col("id").alias("a")), "a", "left_semi").unionByName(met.join(big.select(F.col("id").alias("b")), "b", "left_semi")).distinct()
+        counted = counted.unionByName(_with_giants(coded, array, "true").join(far, ["a", "b"], "left_semi").where(_similar(num, den)))
+    return _with_similarity(counted)
 
 
 def pearson(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column, syy: Column) -> Column:
-    """Correlation from one pass of sums; 0 where a side doesn't vary."""
+    """Correlation from one pass of sums, to 9 places, so that equal ones stay equal whatever the order of the sums;
+    0 where a side doesn't vary."""
     vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    return F.when((vx > 1e-9) & (vy > 1e-9), (sxy - sx * sy / n) / F.sqrt(vx * vy)).otherwise(0.0)
+    return F.when((vx > 1e-9) & (vy > 1e-9), F.round((sxy - sx * sy / n) / F.sqrt(vx * vy), 9)).otherwise(0.0)
 
 
 def correlated_items(ratings: DataFrame, *, co_rated: int = 3, above: float = 0.1) -> DataFrame:
