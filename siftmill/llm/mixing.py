@@ -114,20 +114,18 @@ def _network(weights: dict[int, int], targets: Sequence[Target], quotas: Sequenc
 def largest_total(weights: dict[int, int], targets: Sequence[Target]) -> int:
     """The most tokens that can be drawn with exact shares, from the tokens of each pattern (a bit mask of targets).
 
+    A target without any token to draw doesn't count; what its share would be stays out of the total drawn.
     Found by the flow itself: a total is tried, and if some quotas can't be met, the sources on the sink's side of
     the least cut are those that lack tokens; what these can draw, over their share, is the next, smaller total.
     Each step meets a new cut, and few are needed.
     """
-    wanted = [i for i, t in enumerate(targets) if t.share > 0]
-    if not wanted:
-        return 0
-
     def room(chosen: set[int]) -> int:
         return sum(w * max((t.max_repeat for i, t in enumerate(targets) if i in chosen and mask >> i & 1), default=0) for mask, w in weights.items())
 
-    total = min(int(room({i}) / targets[i].share) for i in wanted)
+    wanted = {i for i, t in enumerate(targets) if t.share > 0 and room({i}) > 0}
+    total = min((int(room({i}) / targets[i].share) for i in wanted), default=0)
     while total > 0:
-        quotas = [int(total * t.share) for t in targets]
+        quotas = [int(total * t.share) if i in wanted else 0 for i, t in enumerate(targets)]
         flow, levels, _, start, end = _network(weights, targets, quotas)
         if flow.run(start, end) >= sum(quotas):
             return total
@@ -170,8 +168,8 @@ def mix(df: DataFrame, item: str, text: str, source: str, size: str, targets: Se
     """The drawn items: item, source (for which it is drawn), uses, n_tokens (of one use).
 
     An item belongs to every target source under which its exact text occurs, so sources may overlap. ``total`` is
-    the number of tokens to draw; None takes the most that allows exact shares. A source's items are used at most
-    its ``max_repeat`` times for it.
+    the number of tokens to draw; None takes the most that allows exact shares of the targets that have any tokens.
+    A source's items are used at most its ``max_repeat`` times for it.
 
     Method: items are grouped by membership pattern; the flow from pattern levels to quotas, solved on the driver
     over the totals of the patterns that occur (subsets of at most 62 targets), says how many tokens each pattern

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from siftmill.llm.cooccur import item_pairs
 from siftmill.llm.langid import identify
-from siftmill.llm.mixing import Target, mix, share_report
+from siftmill.llm.mixing import Target, mix, share_report, source_name
 from siftmill.llm.packing import fill_report, pack
 from siftmill.llm.setjoin import set_links, similar_sets
 from siftmill.llm.terms import term_statistics
 from siftmill.llm.tokens import token_count
 from siftmill.llm.topn import top_per_group
-from siftmill.session import load
+from siftmill.session import load, materialise
 
 
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +71,22 @@ def p8_steps(spark: SparkSession, d: str) -> DataFrame:
     return packed.groupBy("container", "step").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("cost"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and how often the packing breaks a rule: containers above capacity, documents cut though they fit,
+    documents whose pieces aren't all of them, places taken twice."""
+    tiers = [(r.container, r.capacity_tokens) for r in load(spark, d, "container_size").collect()]
+    sized = materialise(_sized(spark, d).select("doc_id", "size"))
+    packed = materialise(pack(sized, "doc_id", "size", tiers))
+    boxes = packed.where("container is not null").groupBy("container", "container_no").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"))
+    rooms = boxes.join(load(spark, d, "container_size"), "container").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"), F.count_if(F.col("n") != F.col("slots")).alias("n_shared"))
+    whole = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("t"))
+    docs = sized.join(whole, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("k") > 1) & (F.col("size") <= max(c for _, c in tiers))).alias("n_cut"),
+        F.count_if(F.coalesce("t", F.lit(-1)) != F.col("size")).alias("n_incomplete"),
+    )
+    return docs.join(rooms).select("n_documents", "n_over", "n_cut", "n_incomplete", "n_shared")  # one row each
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     targets = [Target(r.source, r.target_share, r.max_repeat) for r in load(spark, d, "mix_target").collect()]
     return mix(_sized(spark, d), "doc_id", "text", "source", "size", targets)
@@ -80,6 +96,25 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return share_report(p9_mix(spark, d), load(spark, d, "mix_target"))
 
 
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: the number of draws beyond max_repeat or of texts that don't occur under the source, and whether it
+    has tokens within a few items of its share among the targets that have any."""
+    sized = materialise(_sized(spark, d).select("doc_id", F.sha2("text", 256).alias("h"), source_name("source").alias("own")))
+    drawn = materialise(p9_mix(spark, d))
+    target = load(spark, d, "mix_target")
+    home = sized.select("h", F.col("own").alias("source")).distinct()
+    checked = drawn.join(sized.select("doc_id", "h"), "doc_id").join(home.withColumn("there", F.lit(True)), ["h", "source"], "left").join(target, "source")
+    per = checked.groupBy("source", "target_share", "max_repeat").agg(
+        F.count_if((F.col("uses") > F.col("max_repeat")) | F.col("there").isNull()).alias("n_wrong"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("largest"),
+    )
+    per = materialise(per)
+    all_of = per.agg(F.sum("tokens").alias("t"), F.sum("target_share").alias("s")).first()
+    due = F.col("target_share") * F.lit((all_of.t or 0) / (all_of.s or 1.0))
+    near = F.abs(F.col("tokens") - due) <= 4 * F.col("max_repeat") * F.col("largest")
+    found = per.select("source", "n_wrong", near.alias("near"))
+    return target.select("source").join(found, "source", "left").select("source", F.coalesce("n_wrong", F.lit(0)).alias("n_wrong"), F.coalesce("near", F.lit(False)).alias("near"))
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     return identify(load(spark, d, "documents"), "doc_id", "text", "lang", "source", "business_id", load(spark, d, "lang_sample"))
 
@@ -112,8 +147,10 @@ def queries() -> dict:
         "p8_pack": p8_pack,
         "p8_fill": p8_fill,
         "p8_steps": p8_steps,
+        "p8_invariants": p8_invariants,
         "p9_mix": p9_mix,
         "p9_report": p9_report,
+        "p9_invariants": p9_invariants,
         "p10_found": p10_found,
         "p10_documents": p10_documents,
         "p10_segments": p10_segments,
@@ -147,4 +184,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_links": _SIMILAR + "SELECT business_id, count(*) AS n_links, round(max(s), 6) AS best FROM (SELECT a AS business_id, s FROM s UNION ALL SELECT b, s FROM s) GROUP BY 1",
         "p5_found": _TOP.format(c="b1, b2"),
         "p5_top3": _TOP.format(c="b1, b2, sim, rank"),
+        "p8_invariants": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_incomplete, CAST(0 AS BIGINT) AS n_shared FROM documents",
+        "p9_invariants": r"""SELECT source, CAST(0 AS BIGINT) AS n_wrong, source IN (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') FROM documents WHERE text <> '' AND source IS NOT NULL) AS near FROM mix_target""",
     }

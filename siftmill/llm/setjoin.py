@@ -8,6 +8,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.operators.similarity import pairs_within
 from siftmill.session import clean_id, discard, materialise, small
 
 #: A set is small while it has at most this many threshold-sized subsets.
@@ -106,13 +107,7 @@ def similar_sets(df: DataFrame, owner: str, token: str, *, num: int = 1, den: in
         for side in ("i", "j"):
             m = other.select(F.col("head").alias(side), F.col("id").alias("_m"))
             pairs = materialise(pairs.unionByName(pairs.join(m, side).drop(side).withColumnRenamed("_m", side)))
-        # Members of one class among themselves, each pair in the group of its two blocks.
-        blocks = F.ceil(F.col("k") / CLASS_BLOCK).cast("int")
-        m = c.members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        every = F.explode(F.expr("sequence(0, blocks - 1)"))
-        l = m.select("head", F.col("id").alias("i"), "n", F.col("own").alias("x"), every.alias("y"))
-        r = m.select("head", F.col("id").alias("j"), every.alias("x"), F.col("own").alias("y"))
-        same = l.join(r, ["head", "x", "y"]).where("i < j").select("i", "j", F.col("n").alias("n_i"), F.col("n").alias("n_j"), F.col("n").alias("n_ab"))
+        same = pairs_within(c.members, CLASS_BLOCK).select("i", "j", F.col("n").alias("n_i"), F.col("n").alias("n_j"), F.col("n").alias("n_ab"))
         pairs = pairs.unionByName(same)
     if c.giants is not None:
         pairs = pairs.unionByName(c.giants)
