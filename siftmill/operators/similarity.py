@@ -69,10 +69,9 @@ def _expanded(alike: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b, n_a, n_b, n_ab) of heads, and the pairs of all their members, among themselves too."""
     if members.isEmpty():
         return alike
-    other = members.where("id <> head")
     for side in ("a", "b"):
-        m = other.select(F.col("head").alias(side), F.col("id").alias("_m"))
-        alike = materialise(alike.unionByName(alike.join(m, side).drop(side).withColumnRenamed("_m", side)))
+        m = small(members.select(F.col("head").alias(side), F.col("id").alias("_m")))  # a head stands for itself too
+        alike = alike.join(m, side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
     first = F.col("a") < F.col("b")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     ordered = alike.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "n_ab")
@@ -186,10 +185,13 @@ def correlated_items(ratings: DataFrame, *, co_rated: int = 3, above: float = 0.
     ``ratings`` has one row per (user, item). Pairs with ``co_rated`` common users are found first by prefixes of
     rare users; only their ratings meet, and the sums are formed in one aggregation.
     """
-    pairs = materialise(overlapping_pairs(ratings, "item", "user", co_rated).select("a", "b"))
-    x = ratings.select(F.col("item").alias("a"), "user", F.col("stars").alias("x"))
-    y = ratings.select(F.col("item").alias("b"), "user", F.col("stars").alias("y"))
-    both = pairs.join(x, "a").join(y, ["b", "user"])
+    pairs = materialise(overlapping_pairs(ratings, "item", "user", co_rated).select("a", "b", F.expr("n_a <= n_b").alias("a_first")))
+    # The item of fewer ratings goes first: its ratings look up the other's.
+    led = pairs.select("a", "b", "a_first", F.when(F.col("a_first"), F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(F.col("a_first"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    v = ratings.select(F.col("item").alias("lead"), "user", F.col("stars").alias("v"))
+    w = ratings.select(F.col("item").alias("other"), "user", F.col("stars").alias("w"))
+    met = led.join(v, "lead").join(w, ["other", "user"])
+    both = met.select("a", "b", F.when(F.col("a_first"), F.col("v")).otherwise(F.col("w")).alias("x"), F.when(F.col("a_first"), F.col("w")).otherwise(F.col("v")).alias("y"))
     s = lambda e: F.sum(F.expr(e))
     sums = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), s("x").alias("sx"), s("y").alias("sy"), s("x * y").alias("sxy"), s("x * x").alias("sxx"), s("y * y").alias("syy"))
     sim = pearson(*(F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")))

@@ -65,7 +65,7 @@ def _model(ratings: str, co_rated: int, above: str) -> str:
     return f"""SELECT b1, b2, n, CASE WHEN vx > 1e-9 AND vy > 1e-9 THEN round((sxy - sx * sy / n) / sqrt(vx * vy), 9) ELSE 0 END AS sim FROM (
   SELECT *, sxx - sx * sx / n AS vx, syy - sy * sy / n AS vy FROM (SELECT x.item AS b1, y.item AS b2, count(*) AS n, sum(x.stars) AS sx, sum(y.stars) AS sy,
     sum(x.stars * y.stars) AS sxy, sum(x.stars * x.stars) AS sxx, sum(y.stars * y.stars) AS syy
-    FROM {ratings} x JOIN {ratings} y ON x."user" = y."user" AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {co_rated})) WHERE CASE WHEN vx > 1e-9 AND vy > 1e-9 THEN (sxy - sx * sy / n) / sqrt(vx * vy) ELSE 0 END > {above}"""
+    FROM {ratings} x JOIN {ratings} y ON x."user" = y."user" AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {co_rated})) WHERE CASE WHEN vx > 1e-9 AND vy > 1e-9 THEN round((sxy - sx * sy / n) / sqrt(vx * vy), 9) ELSE 0 END > {above}"""
 
 
 STORED = f"""SELECT least(x, y) AS b1, greatest(x, y) AS b2, max(sim) AS sim FROM (SELECT trim(b1, {BLANKS}) AS x, trim(b2, {BLANKS}) AS y, sim FROM model WHERE sim IS NOT NULL AND NOT isnan(sim)) WHERE x <> y GROUP BY 1, 2"""
