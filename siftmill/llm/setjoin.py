@@ -100,13 +100,11 @@ def similar_sets(df: DataFrame, owner: str, token: str, *, num: int = 1, den: in
     rows; other columns don't matter.
     """
     c = similar_classes(df, owner, token, num=num, den=den, least=least, array=array)
-    other = c.members.where("id <> head")
-    # From heads to their members, side by side: (i, j), (member, j), (i, member), (member, member).
     pairs = c.alike
     if not c.members.isEmpty():
         for side in ("i", "j"):
-            m = other.select(F.col("head").alias(side), F.col("id").alias("_m"))
-            pairs = materialise(pairs.unionByName(pairs.join(m, side).drop(side).withColumnRenamed("_m", side)))
+            m = small(c.members.select(F.col("head").alias(side), F.col("id").alias("_m")))  # a head stands for itself too
+            pairs = pairs.join(m, side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
         same = pairs_within(c.members, CLASS_BLOCK).select("i", "j", F.col("n").alias("n_i"), F.col("n").alias("n_j"), F.col("n").alias("n_ab"))
         pairs = pairs.unionByName(same)
     if c.giants is not None:
