@@ -104,7 +104,7 @@ def joined_rows(df) -> int:
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["stored_model_predictions", "prediction_errors", "blended_errors", "neighbour_predictions"])
+@pytest.mark.parametrize("name", ["stored_model_predictions", "prediction_errors", "blended_errors", "neighbour_predictions", "blended_predictions", "collaborative_predictions"])
 def test_predictions_join_the_shorter_list_of_each_pair(spark, monkeypatch, name):
     from siftmill.operators import recommend
 
