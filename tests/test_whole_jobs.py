@@ -127,7 +127,7 @@ class Modelled(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["neighbour_predictions", "blended_errors"])
+@pytest.mark.parametrize("name", ["neighbour_predictions", "blended_errors", "collaborative_predictions"])
 def test_models_meet_ratings_of_common_users_only(spark, monkeypatch, name):
     from siftmill.operators import recommend, similarity
 
