@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.session import discard, materialise
+
 #: Cells that the driver may hold; the number of bins per feature follows from it.
 CELLS = 1_000_000
 
@@ -114,12 +116,13 @@ def boosted_trees(train: DataFrame, columns: Sequence[str], label: str, *, trees
     every prediction is 0.
     """
     bins = bins or min(256, max(2, int(CELLS ** (1 / len(columns)) + 1e-9)))
-    rows = train.where(F.col(label).isNotNull()).select(*(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(f"f{i}") for i, c in enumerate(columns)), F.col(label).cast("double").alias("y"))
+    rows = materialise(train.where(F.col(label).isNotNull()).select(*(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(f"f{i}") for i, c in enumerate(columns)), F.col(label).cast("double").alias("y")))
     shares = [i / bins for i in range(1, bins)]
     found = rows.agg(*(F.percentile_approx(f"f{i}", shares, 20_000).alias(f"q{i}") for i in range(len(columns)))).first()
     edges = [np.unique(np.array(found[f"q{i}"] or [], float)) for i in range(len(columns))]
     code = lambda i: F.expr("+".join(["0", *(f"cast(f{i} > cast('{float(e)!r}' as double) as int)" for e in edges[i])]))
     cells = rows.groupBy(*(code(i).alias(f"c{i}") for i in range(len(columns)))).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).toArrow()
+    discard(rows)
     if not cells.num_rows:
         return Model(list(columns), edges, 0.0, [])
     values = [c.to_numpy() for c in cells.columns]

@@ -201,3 +201,13 @@ def test_collaborative_predictions_run_on_codes_and_delete_what_the_model_wrote(
     assert seen["types"] == {"bigint"}
     # The codes of users and of items, the pairs, the ratings and the model.
     assert len(seen["left"]) == 5 < len(session._written) - before
+
+
+def test_blended_predictions_take_features_and_ratings_on_codes(spark, monkeypatch):
+    from siftmill.operators import recommend
+
+    seen, made = set(), recommend.features
+    monkeypatch.setattr(recommend, "features", lambda *dfs: seen.update(t for df in dfs for c, t in df.dtypes if c in ("user", "item")) or made(*dfs))
+    monkeypatch.setattr(recommend, "predict_model", lambda train, test, **how: test.selectExpr("user", "item", "3D AS stars"))
+    out = entry.queries()["blended_predictions"](spark, DATA)
+    assert seen == {"bigint"} and dict(out.dtypes)["user"] == "string"
